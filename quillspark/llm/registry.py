@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import bpe, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op4_suffix_array_dedup": suffix_dedup.query,
+    "op7_bpe": bpe.query,
     "op8_substring_dedup": substring_dedup.query,
 }
 ORACLES: dict[str, str] = {}
