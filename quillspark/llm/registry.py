@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, substring_dedup, suffix_dedup
+from . import bpe, packing, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op4_suffix_array_dedup": suffix_dedup.query,
     "op7_bpe": bpe.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
