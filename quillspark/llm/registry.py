@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, substring_dedup, suffix_dedup
+from . import bpe, language, packing, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op4_suffix_array_dedup": suffix_dedup.query,
     "op7_bpe": bpe.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_packing": packing.query,
+    "op10_language_id": language.query,
 }
 ORACLES: dict[str, str] = {}
