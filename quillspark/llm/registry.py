@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, line_dedup, packing, quality, substring_dedup, suffix_dedup, vectors
+from . import bpe, language, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_embedding_near_dedup": vectors.query_near,
     "op4_suffix_array_dedup": suffix_dedup.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_minhash_near_dedup": near_dedup.query,
     "op7_bpe": bpe.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_packing": packing.query,
