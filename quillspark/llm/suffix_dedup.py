@@ -6,12 +6,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranges, table
 from .deep_shallow import suffix_order
-from .repeats import covered, find_repeats, id_of, over_texts, places, with_texts
+from .repeats import NULL_ID, covered, find_repeats, id_of, over_texts, places, with_texts
 
 WINDOW, GRAM = 100, 24
 
@@ -35,8 +36,8 @@ def repeated_suffixes(key, doc, start, count, size, body: bytes):
     return d[gone], p[gone], np.ones(int(gone.sum()), np.int32)
 
 
-def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept: bytes left of each document's text.
+def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, hash (of the whole text) and kept (bytes left).
 
     A byte goes if a WINDOW-byte string over it also starts earlier: in a document of smaller id, or before it in its
     own.  Null texts are empty, texts below WINDOW bytes stay whole.  Rows that repeat an id and a text are one document
@@ -44,8 +45,8 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     placed, shift = places(docs)
     found, plan = find_repeats(placed, shift, "byte", WINDOW, GRAM, True, repeated_suffixes)
-    names = ["place", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text]
+    names = ["place", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["hash"] * whole_hash, *["kept"] * with_text]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * whole_hash, *[pa.binary()] * with_text]
     schema = pa.schema(list(zip(names, kinds)))
 
     def finish(batches):
@@ -59,7 +60,8 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 spans = int((edge == 1).sum()) + int(gone[0])
             else:
                 kept, spans = text.tobytes(), 0
-            some.append((place, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
+            own = [int(np.uint64(xxhash.xxh64_intdigest(text.tobytes(), seed=42)).astype(np.int64))] if whole_hash else []  # F.xxhash64
+            some.append((place, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), *own, *[kept] * with_text))
             size += len(kept) * with_text + 100
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], schema=schema)
@@ -67,9 +69,32 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], schema=schema)
 
-    out = with_texts(placed, found, plan.buckets).mapInArrow(finish, "place long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    out = with_texts(placed, found, plan.buckets).mapInArrow(finish, "place long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", hash long" * whole_hash + ", kept binary" * with_text)
     return out.select(id_of(F.col("place"), shift).alias("doc_id"), *names[1:])
 
 
+def whole_signs(batches):
+    """The last column, bytes, as text without broken signs."""
+    for batch in batches:
+        text = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.columns[-1]], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], batch.schema.names)
+
+
+def dedup_rows(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with what ``dedup`` leaves of the text; rows that lose all of it go.
+
+    Signs of several bytes that a removed run cuts are left out.  Null text stays null.  The row's other columns travel
+    with it, joined by doc_id and the hash of the text.
+    """
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    bare = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    found = dedup(bare, whole_hash=True).where("n_removed > 0").mapInArrow(whole_signs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, hash long, kept string")
+    cut = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "hash", (F.col("n_bytes") > F.col("n_removed")).alias("left"), "kept").dropDuplicates(["id", "hash"])
+    joined = keyed.join(cut, ["id", "hash"], "left").where(F.coalesce("left", F.lit(True)))
+    text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.col("kept"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"), with_text=False)
