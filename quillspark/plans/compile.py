@@ -346,7 +346,7 @@ def _phrase(index: Index, node: ast.Phrase) -> Compiled:
         out = F.lit(True)
         for found, shift in others:
             if node.slop:
-                out = out & F.exists(found, lambda x, shift=shift: F.abs(x - p - shift) <= node.slop)
+                out = out & F.exists(F.transform(found, lambda x: F.abs(x - p - shift)), lambda d: d <= node.slop)  # noqa: B023
             else:
                 out = out & F.array_contains(found, p + shift)
         return out
