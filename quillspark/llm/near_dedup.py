@@ -28,6 +28,8 @@ SMOOTH = 50.0
 STEP_BYTES = 1 << 18
 #: Members of a group that are compared with its first by one task.
 SHARE = 512
+#: Members not connected with their group's leader that one task holds against all others.
+BLOCK = 128
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -249,34 +251,53 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
-def links(groups: DataFrame, sets: DataFrame, least: float, rounds: int = 60) -> DataFrame:
+def links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b) of linked pairs, enough to connect all that any links within the groups connect.
 
-    ``groups`` has (g1, g2, doc).  Each member of a group is compared with the group's first.  Distances (1 - similarity)
-    obey the triangle inequality, so two members can be linked only if their distances to the first differ by 1 - least
-    or less: one within 1 - least of the first needs no further comparison, as it is connected; one between that and twice
-    that is compared with those members that the inequality leaves; the farther ones can be linked with others only of
-    their kind or the last, and form the group of the next round.
+    ``groups`` has (g1, g2, doc, many).  Each member of a group is compared with the group's leader, the text with the
+    most copies.  Members then connected with the leader need no comparison with each other; each of the rest, x, is
+    compared with the members y that the triangle inequality of the distance (1 - similarity) leaves: to be linked, their
+    distances to the leader must differ by 1 - least at most.  Those comparisons go in blocks: BLOCK of the rest meet all
+    members of their group.
     """
-    found, reach = None, 1 - least
-    for _ in range(rounds):
-        first = groups.groupBy("g1", "g2").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        led = staged(groups.join(first, ["g1", "g2"]).where("doc <> a").withColumnRenamed("doc", "b"), "led")
-        if led.isEmpty():
-            break
-        near = staged(similarities(led.select("a", "b").distinct(), sets), "similarities")
-        far = led.join(near, ["a", "b"]).withColumn("d", 1 - F.col("similarity"))
-        good = near.where(F.col("similarity") >= least).select("a", "b")
-        between = far.where((F.col("d") > reach) & (F.col("d") <= 2 * reach)).select("g1", "g2", F.col("a").alias("first"), F.col("b").alias("x"), F.col("d").alias("dx"))
-        # a pair within one group: x between, y any that the inequality leaves; (x, y) once
-        pairs = between.join(far.select("g1", "g2", F.col("b").alias("y"), F.col("d").alias("dy")), ["g1", "g2"]).where((F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= reach) & ((F.col("dy") <= reach) | (F.col("dy") > 2 * reach) | (F.col("x") < F.col("y"))))
-        pairs = staged(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "between")
-        more = staged(similarities(pairs, sets).where(F.col("similarity") >= least).select("a", "b").unionAll(good), "similar")
-        found = more if found is None else found.unionAll(more)
-        groups = staged(far.where(F.col("d") > 2 * reach).select("g1", "g2", F.col("b").alias("doc")), "groups")
-    else:
-        raise RuntimeError("groups did not settle")
-    return found if found is not None else groups.sparkSession.createDataFrame([], "a long, b long")
+    n, reach = partitions(groups.sparkSession), 1 - least
+    first = groups.groupBy("g1", "g2").agg(F.max_by("doc", F.struct("many", -F.col("doc"))).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    led = staged(groups.join(first, ["g1", "g2"]).where("doc <> a").select("g1", "g2", "a", F.col("doc").alias("b")), "led")
+    near = staged(similarities(led.select("a", "b").distinct(), sets), "similarities")
+    good = near.where(F.col("similarity") >= least).select("a", "b")
+    parts = staged(components(good), "first-parts")
+    ids = lambda name: parts.select(F.col("id").alias(name), F.col("component").alias(f"part_{name}"))
+    members = led.join(near, ["a", "b"]).join(ids("a"), "a", "left").join(ids("b"), "b", "left")
+    settled = F.coalesce("part_a", "a") == F.coalesce("part_b", "b")
+    members = staged(members.select("g1", "g2", F.col("b").alias("doc"), (1 - F.col("similarity")).alias("d"), (~settled).alias("rest")), "members")
+    rests = members.groupBy("g1", "g2").agg(F.count_if("rest").alias("rests"), F.count(F.lit(1)).alias("n")).where("rests > 0 and n > 1").select("g1", "g2", F.ceil(F.col("rests") / BLOCK).cast("int").alias("blocks"))
+    some = members.join(rests, ["g1", "g2"])
+    left = some.where("rest").select("g1", "g2", F.expr("cast(pmod(xxhash64(doc), blocks) as int)").alias("block"), F.lit(0).alias("side"), "doc", "d", "rest")
+    right = some.select("g1", "g2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "doc", "d", "rest")
+    rows = left.unionAll(right).join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("g1", "g2", "block", "side", "doc", "d", "rest", "shingles", "weights")
+    rows = rows.repartition(n, "g1", "g2", "block").sortWithinPartitions("g1", "g2", "block", "side")
+
+    def run(batches):
+        own, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            side, doc, d, rest = (batch.column(i).to_pylist() for i in range(3, 7))
+            out = []
+            for i, key in enumerate(keys):
+                y, wy = np.frombuffer(batch.column(7)[i].as_buffer(), U64), np.frombuffer(batch.column(8)[i].as_buffer(), np.float32)
+                if key != own:
+                    own, held = key, []
+                if not side[i]:
+                    held.append((doc[i], d[i], y.copy(), wy.copy()))
+                    continue
+                for x, dx, sx, wx in held:
+                    if x != doc[i] and (not rest[i] or x < doc[i]) and abs(dx - d[i]) <= reach + 1e-6 and weighted_jaccard(sx, wx, y, wy) >= least:
+                        out.append((x, doc[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    more = staged(rows.mapInArrow(run, "a long, b long"), "similar")
+    return good.unionAll(more)
 
 
 def clusters(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -293,8 +314,8 @@ def clusters(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def _clusters(placed: DataFrame, least: float) -> DataFrame:
     weights = shingle_weights(placed)
     signed = staged(signatures(placed, weights), "signatures")
-    classes = staged(signed.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "text-classes")
-    banded = classes.select("doc", F.posexplode("bands").alias("g1", "g2"))
+    classes = staged(signed.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("many"), F.first("bands").alias("bands")), "text-classes")
+    banded = classes.select("doc", "many", F.posexplode("bands").alias("g1", "g2"))
     several = banded.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g1", "g2")
     groups = staged(banded.join(several, ["g1", "g2"]), "groups")
     sets = staged(weighted_sets(placed, weights, groups.select("doc").distinct()), "sets")
