@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -180,19 +181,17 @@ def tokens_column(values: Column, chain: Chain) -> Column:
     """Analyzed tokens of an array of texts; each value starts after the last, so that no phrase spans two values."""
 
     @F.pandas_udf(TOKENS)
-    def run(column: Iterator) -> Iterator:
-        for batch in column:
-            out = []
-            for texts in batch:
-                found, base = [], 0
-                for text in texts if texts is not None else ():
-                    some = chain(text)
-                    found += [{"term": t.term, "pos": base + t.pos} for t in some]
-                    base = max((f["pos"] for f in found), default=base - 2) + 2
-                out.append(found if texts is not None else None)
-            yield type(batch)(out, dtype=object)
+    def run(column: pd.Series) -> pd.Series:
+        out = []
+        for texts in column:
+            found, base = [], 0
+            for text in texts if texts is not None else ():
+                some = chain(text)
+                found += [{"term": t.term, "pos": base + t.pos} for t in some]
+                base = max((f["pos"] for f in found), default=base - 2) + 2
+            out.append(found if texts is not None else None)
+        return pd.Series(out, dtype=object)
 
-    run.func.__annotations__ = {}
     return run(values)
 
 

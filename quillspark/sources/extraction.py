@@ -135,7 +135,7 @@ def charset(data: bytes, declared: str | None = None) -> str:
     head = data[: 64 << 10]
     if head.isascii():
         return "ISO-8859-1"
-    for cut in range(4):
+    for cut in range(4 if len(data) > len(head) else 1):  # the cut may part a sign
         try:
             head[: len(head) - cut].decode("utf-8")
             return "UTF-8"
