@@ -56,7 +56,9 @@ class Index:
 
     def terms(self, f: Field) -> Column:
         """Indexed terms of a field as an array; null counts as none."""
-        if f.kind in ("text", "payload"):
+        if f"{f.name}__terms" in self.docs.columns:
+            terms = F.col(f"`{f.name}__terms`")
+        elif f.kind in ("text", "payload"):
             terms = F.col(f"`{f.tokens}`")["term"] if f.tokens in self.docs.columns else F.array().cast("array<string>")
         else:
             c = self.column(f.name)
@@ -329,7 +331,10 @@ def _phrase(index: Index, node: ast.Phrase) -> Compiled:
     if len(places) == 1 and not node.prefix:
         return _term(index, ast.Term(node.field, node.text))
     groups = [[t.term for t in words if t.pos == p] for p in places]
-    tokens = F.col(f"`{f.tokens}`")
+    if f.tokens in index.docs.columns:
+        tokens = F.col(f"`{f.tokens}`")
+    else:  # a plain list of terms, whose places are their numbers
+        tokens = F.transform(index.terms(f), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
 
     def at(k: int) -> Column:
         def fits(t: Column) -> Column:
