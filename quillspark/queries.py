@@ -6,6 +6,7 @@ Points and spans are derived from keys by arithmetic that both sides spell out.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from .plans import ast
 from .plans.compile import Index, compile_query, interval_match, payload_score
 from .plans.edismax import edismax, minimum
 from .plans.grammar import parse_query
-from .sources.core import copy_fields, delete_keys, delete_where, last_of_each, overwrite
+from .sources.core import copy_fields, delete_keys, delete_where, last_of_each, overwrite, work_folder
 from .sources.schema import Schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,19 +64,31 @@ _PARTS = Schema.from_dict({
 })
 
 
-def tokenized(df: DataFrame, *columns: str) -> DataFrame:
-    """With the term arrays that the compiler reads, cut inside the JVM; over all cores even where the table is one small file."""
-    if df.rdd.getNumPartitions() < 2 * df.sparkSession.sparkContext.defaultParallelism:
-        df = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
-    return df.withColumns({f"{c}__terms": simple_tokens(F.col(c)) for c in columns})
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The table with the term arrays that the compiler reads, as an index has them: written once in a session, then read.
+
+    Terms are cut inside the JVM, over all cores even where the table is one small file.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _INDEXES:
+        df, wide = read(spark, sf_dir, name), 2 * spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < wide:
+            df = df.repartition(wide)
+        path = f"{work_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
+        df.withColumns({f"{c}__terms": simple_tokens(F.col(c)) for c in columns}).write.parquet(path)
+        _INDEXES[key] = path
+    return spark.read.parquet(_INDEXES[key])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Index:
-    return Index(tokenized(read(spark, sf_dir, "documents"), "text"), _DOCS)
+    return Index(indexed(spark, sf_dir, "documents", "text"), _DOCS)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> Index:
-    return Index(tokenized(read(spark, sf_dir, "part"), "p_name", "p_type"), _PARTS)
+    return Index(indexed(spark, sf_dir, "part", "p_name", "p_type"), _PARTS)
 
 
 def found(index: Index, text: str | ast.Node, *columns: str) -> DataFrame:
@@ -605,7 +618,7 @@ def m02(spark, sf_dir):
 
 @query("m03_terms", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) WHERE starts_with(term, 'th') GROUP BY term ORDER BY df DESC, term LIMIT 25")
 def m03(spark, sf_dir):
-    counts = components.term_counts(read(spark, sf_dir, "documents"), simple_tokens(F.col("text")))
+    counts = components.term_counts(documents(spark, sf_dir).docs, F.col("text__terms"))
     return components.enumerate_terms(counts, "th", 25)
 
 
@@ -691,12 +704,9 @@ def t03(spark, sf_dir):
 
 @query("t01_stream_upsert", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1")
 def t01(spark, sf_dir):
-    import tempfile
-
     from .streaming.upsert import Table, upsert_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(dir=base.removeprefix("file://") if base and base.startswith(("/", "file:/")) else None)
+    folder = f"{work_folder(spark)}/upsert-{uuid.uuid4().hex}".removeprefix("file://")
     path = f"{sf_dir}/events.parquet"
     reader = spark.readStream.schema(read(spark, sf_dir, "events").schema)
     source = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)

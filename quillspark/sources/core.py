@@ -6,6 +6,7 @@ import json
 import os
 import re
 import shutil
+import tempfile
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -22,6 +23,15 @@ from ..plans.grammar import parse_query
 from .schema import Field, Schema, build
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def overwrite(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows whose key is not in the new ones, and the new: the last of each key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
