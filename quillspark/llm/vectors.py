@@ -87,7 +87,7 @@ def threshold_top(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
                 may = may[np.lexsort((ids[row[may]], -score[may]))[:top]]
                 score, row = score[may], row[may]
             best_score, best_row, depth = score, row, to
-            if to >= n:
+            if to >= n or met.all():
                 break
             if len(score) >= top:
                 bound = (q[use] * np.where(down, values[use, n - to], values[use, to - 1])).sum()
