@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, U64, longs, mix64, partitions, prefix_hash, range_hash, ranges, spans_of, staged, table, utf8
 from .components import components
-from .repeats import id_of, places, split_at, word_codes
+from .repeats import places, split_at, with_ids, word_codes
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 16, 4
 TABLE_BITS, SLICES, FILTER_BITS = 20, 16, 24
@@ -307,8 +307,12 @@ def clusters(docs: DataFrame, least: float = LEAST) -> DataFrame:
     than five words are one shingle; texts without words, null or empty, are clusters of their own.  Rows of one doc_id
     and text are one document; for other repeated ids and null ids see ``places``.  Other columns are ignored.
     """
-    placed, shift = places(docs)
-    return _clusters(placed, least).select(id_of(F.col("place"), shift).alias("doc_id"), id_of(F.col("class"), shift).alias("class_id"), (F.col("place") == F.col("class")).alias("kept"))
+    placed, _, ids = places(docs)
+    found = _clusters(placed, least).select("place", F.col("class").alias("class_id"), (F.col("place") == F.col("class")).alias("kept"))
+    if ids is not None:
+        heads = ids.select(F.col("place").alias("class_id"), F.col("id").alias("head"))
+        found = found.join(heads, "class_id").select("place", F.col("head").alias("class_id"), "kept")
+    return with_ids(found, ids)
 
 
 def _clusters(placed: DataFrame, least: float) -> DataFrame:
@@ -330,14 +334,13 @@ def dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
     Of equal rows one stays, of rows of one doc_id with different texts those that are no copies of an earlier one.
     """
     names = docs.columns
-    found = clusters(docs, least)
-    if docs.where(F.col("doc_id").isNull()).isEmpty() and not found.groupBy("doc_id").count().where("count > 1").count():
-        gone = found.where(~F.col("kept")).select("doc_id")
+    placed, _, ids = places(docs)
+    found = _clusters(placed, least)
+    if ids is None:
+        gone = found.where("place <> class").select(F.col("place").alias("doc_id"))
         return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in names])
     # repeated or null ids: rows are told apart by their texts' places
-    placed, shift = places(docs)
-    kept = _clusters(placed, least).where("place = class").select("place").distinct()
-    texts = placed.join(kept, placed["doc_id"] == kept["place"], "left_semi").select(id_of(F.col("doc_id"), shift).alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
+    texts = ids.join(found.where("place = class"), "place", "left_semi").select(F.col("id").alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     keyed = keyed.dropDuplicates(["_id", "_hash"])
     return keyed.join(texts, keyed["_id"].eqNullSafe(texts["_id"]) & (keyed["_hash"] == texts["_hash"]), "left_semi").select(*[F.col(f"`{c}`") for c in names])

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, CHUNK_BYTES, U64, by_bucket, longs, mix64, only, pack, partitions, powers, prefix_hash, range_hash, ranges, spans_of, staged, unpack, utf8, word_ranges
@@ -445,33 +445,76 @@ def heavy_keys(plan: Plan, docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found], np.int64).view(U64))
 
 
-#: Bits for the rows of one doc_id where ids repeat or are null; such ids must fit in the bits that are left.
-SHIFT, NULL_ID = 20, 1 << 42
+def numbered(keys: DataFrame) -> tuple[DataFrame, int]:
+    """Different rows (none, id, sha) with their place, which grows in that order, and how many low bits of it tell the rows of one id apart.
 
+    The bits above number the ids.  Rows are sorted by range, each range counts on its own, and the counts of the ranges
+    alone reach the driver; so an id of any number of rows is no hot spot.
+    """
+    n = partitions(keys.sparkSession)
 
-def places(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (doc_id: a place in the order of documents, text), and how many low bits of a place are not the id's.
-
-    As a rule a place is the id.  Where ids repeat or are null, equal rows have one place, rows of one id with different
-    texts are ordered by the texts' SHA-256, and null ids come last.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, rank, last = -1, 0, None  # of the row before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            none = batch.column(0).to_numpy(zero_copy_only=False)
+            ident = longs(batch.column(1))
+            new = np.ones(len(none), bool)
+            new[1:] = (none[1:] != none[:-1]) | (ident[1:] != ident[:-1])
+            new[0] = last != (bool(none[0]), int(ident[0]))
+            runs = run + np.cumsum(new)
+            at = np.arange(len(none))
+            head = np.maximum.accumulate(np.where(new, at, -1))
+            ranks = np.where(head >= 0, at - head, at + rank + 1)
+            run, rank, last = int(runs[-1]), int(ranks[-1]), (bool(none[-1]), int(ident[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs), pa.array(ranks)], ["none", "id", "sha", "part", "run", "rank"])
+
+    parted = keys.repartitionByRange(n, "none", "id", "sha").sortWithinPartitions("none", "id", "sha").withColumn("part", F.spark_partition_id())
+    counted = staged(parted.mapInArrow(count, "none boolean, id long, sha binary, part int, run long, rank long"), "places-counted")
+    ident = F.struct("none", "id")
+    ends = counted.groupBy("part").agg(F.min(ident).alias("lo"), F.max(ident).alias("hi"), F.max(F.struct("run", "rank")).alias("last"), F.max(F.when(F.col("run") == 0, F.col("rank"))).alias("first"), F.max("rank").alias("most"))
+    bases, runs, ranks, most, hi = [], 0, 0, 0, None
+    for r in sorted(ends.collect(), key=lambda r: r.part):
+        goes_on = hi == r.lo  # the first id of this range is the last of the range before
+        base, carry = (runs - 1, ranks) if goes_on else (runs, 0)
+        bases.append((r.part, base, carry))
+        most = max(most, r.most, r.first + carry)
+        runs, ranks, hi = base + r["last"].run + 1, r["last"].rank + 1 + (carry if r["last"].run == 0 else 0), r.hi
+    shift = most.bit_length()
+    if max(runs - 1, 0).bit_length() + shift > 63:  # takes 2**32 different rows at least
+        raise ValueError(f"{runs} ids with up to {most + 1} texts each do not fit in places of 63 bits")
+    offsets = keys.sparkSession.createDataFrame(bases, "part int, base long, carry long")
+    rank = F.col("rank") + F.when(F.col("run") == 0, F.col("carry")).otherwise(0)
+    return counted.join(F.broadcast(offsets), "part").select("none", "id", "sha", ((F.col("base") + F.col("run")) * F.lit(1 << shift) + rank).alias("place")), shift
+
+
+def places(docs: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+    """Rows (doc_id: a place in the order of documents, text), how many low bits of a place are not the id's, and the rows' ids.
+
+    As a rule a place is the id, and the last is None.  Where ids repeat or are null, equal rows are one row here, rows of
+    one id with different texts are ordered by the texts' SHA-256, and null ids are one id that comes last; the ids then
+    are rows (place, id, many: how many equal rows there are, text), see ``with_ids``.  Ids may have any value.
     """
     docs = only(docs, doc_id="long", text="string")
     seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if seen.n == seen.d:
-        return docs, 0
-    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    hashed = docs.withColumn("sha", F.sha2("text", 256))
-    several = hashed.groupBy("id").agg(F.count_distinct("sha").alias("n")).where("n > 1").select("id")
-    ranks = hashed.join(several, "id", "left_semi").select("id", "sha").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("sha")))
-    placed = hashed.join(ranks, ["id", "sha"], "left").select((F.col("id") * F.lit(1 << SHIFT) + F.coalesce("rank", F.lit(0))).alias("doc_id"), "text")
-    return staged(placed, "places"), SHIFT
-
-
-def id_of(place: Column, shift: int) -> Column:
-    if not shift:
-        return place
-    found = F.shiftright(place, shift)
-    return F.when(found != NULL_ID, found)
+        return docs, 0, None
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
+    keys, shift = numbered(hashed.select("none", "id", "sha").distinct())
+    different = hashed.groupBy("none", "id", "sha").agg(F.count(F.lit(1)).alias("many"), F.first("text").alias("text"))
+    ids = staged(different.join(keys, ["none", "id", "sha"]).select("place", F.when(~F.col("none"), F.col("id")).alias("id"), "many", "text"), "places")
+    return ids.select(F.col("place").alias("doc_id"), "text"), shift, ids
+
+
+def with_ids(found: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """``found`` with doc_id in place of its first column, a place; a result of equal rows once for each of them."""
+    place, *names = found.columns
+    if ids is None:
+        return found.withColumnRenamed(place, "doc_id")
+    own = ids.select(F.col("place").alias(place), F.col("id").alias("doc_id"), "many")
+    return found.join(own, place).withColumn("many", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many")))).select("doc_id", *names)
 
 
 def find_repeats(docs: DataFrame, shift: int, unit: str, window: int, gram: int, earlier_place: bool, repeated: Callable) -> tuple[DataFrame, Plan]:

@@ -7,10 +7,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table, word_ranges
-from .repeats import covered, find_repeats, id_of, over_texts, places, with_texts
+from .repeats import covered, find_repeats, over_texts, places, with_ids, with_texts
 
 WINDOW, GRAM = 50, 14
 
@@ -87,7 +86,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     texts of fewer words than WINDOW stay whole.  Rows of one id never count as earlier than each other; null ids come
     last.  Other columns are ignored.
     """
-    placed, shift = places(docs)
+    placed, shift, ids = places(docs)
     found, plan = find_repeats(placed, shift, "word", WINDOW, GRAM, False, repeated_windows(shift))
     names = ["place", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
@@ -114,7 +113,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], schema=schema)
 
     out = with_texts(placed, found, plan.buckets).mapInArrow(finish, "place long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
-    return out.select(id_of(F.col("place"), shift).alias("doc_id"), *names[1:])
+    return with_ids(out, ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import ranges, table
 from .deep_shallow import suffix_order
-from .repeats import NULL_ID, covered, find_repeats, id_of, over_texts, places, with_texts
+from .repeats import covered, find_repeats, over_texts, places, with_ids, with_texts
 
 WINDOW, GRAM = 100, 24
 
@@ -43,7 +43,7 @@ def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False) ->
     own.  Null texts are empty, texts below WINDOW bytes stay whole.  Rows that repeat an id and a text are one document
     and get the same result; for other repeated and for null ids see ``places``.  Other columns are ignored.
     """
-    placed, shift = places(docs)
+    placed, shift, ids = places(docs)
     found, plan = find_repeats(placed, shift, "byte", WINDOW, GRAM, True, repeated_suffixes)
     names = ["place", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["hash"] * whole_hash, *["kept"] * with_text]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * whole_hash, *[pa.binary()] * with_text]
@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], schema=schema)
 
     out = with_texts(placed, found, plan.buckets).mapInArrow(finish, "place long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", hash long" * whole_hash + ", kept binary" * with_text)
-    return out.select(id_of(F.col("place"), shift).alias("doc_id"), *names[1:])
+    return with_ids(out, ids)
 
 
 def whole_signs(batches):
@@ -87,11 +87,11 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     with it, joined by doc_id and the hash of the text.
     """
     names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
     bare = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     found = dedup(bare, whole_hash=True).where("n_removed > 0").mapInArrow(whole_signs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, hash long, kept string")
-    cut = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "hash", (F.col("n_bytes") > F.col("n_removed")).alias("left"), "kept").dropDuplicates(["id", "hash"])
-    joined = keyed.join(cut, ["id", "hash"], "left").where(F.coalesce("left", F.lit(True)))
+    cut = found.select(F.col("doc_id").alias("cut_id"), F.col("hash").alias("cut_hash"), (F.col("n_bytes") > F.col("n_removed")).alias("left"), "kept").dropDuplicates(["cut_id", "cut_hash"])
+    joined = keyed.join(cut, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left").where(F.coalesce("left", F.lit(True)))
     text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.col("kept"))
     return joined.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names])
 

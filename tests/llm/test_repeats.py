@@ -117,3 +117,41 @@ def test_blind_trie():
     leaves = trie.leaves()
     assert [items[x[0]] for x in leaves] == sorted(set(items))
     assert sorted(i for x in leaves for i in x) == list(range(500))
+
+
+def rows_of_ids(rng):
+    """Repeated and null ids with many texts, ids of any size, and equal rows."""
+    shared = " ".join(str(rng.randrange(10**6)) for _ in range(60))
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(3))
+    ids = [None, 5, 6, 1 << 42, (1 << 63) - 1, -(1 << 63)]
+    rows = [(i, f"{text()} {shared} {text()}") for i in ids for _ in range(7)]
+    return rows + rows[:4] + [(8, text())]
+
+
+def test_any_id_and_any_number_of_texts(spark, monkeypatch):
+    """As many texts of one id as there are bits for: were these fixed, places would meet those of the next id."""
+    monkeypatch.setattr(repeats, "SHIFT", 2, raising=False)
+    rows = rows_of_ids(random.Random(8))
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
+    seen, want = set(), {}
+    for doc, text in sorted(set(rows), key=key):
+        data = text.encode()
+        gone = {q for p in range(len(data) - 99) if data[p : p + 100] in seen for q in range(p, p + 100)}
+        seen |= {data[p : p + 100] for p in range(len(data) - 99)}
+        want[doc, hashlib.sha256(bytes(x for q, x in enumerate(data) if q not in gone)).hexdigest()] = len(gone)
+    got = suffix_dedup.dedup(frame(spark, rows), with_text=False).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.kept_sha256): r.n_removed for r in got} == want
+    first = {r.n_removed for r in substring_dedup.dedup(frame(spark, rows)).collect() if r.doc_id == -(1 << 63)}
+    later = {r.n_removed for r in substring_dedup.dedup(frame(spark, rows)).collect() if r.doc_id in (None, 5, 6, 1 << 42, (1 << 63) - 1)}
+    assert first == {0} and later == {60}
+
+
+def test_places_grow_with_id_and_hash(spark):
+    rows = rows_of_ids(random.Random(9))
+    placed, shift, ids = repeats.places(frame(spark, rows))
+    got = {(r.id, r.text): (r.place, r.many) for r in ids.collect()}
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
+    order = sorted(set(rows), key=key)
+    assert [got[r][0] for r in order] == sorted({p for p, _ in got.values()}) and placed.count() == len(order)
+    assert all(got[r][1] == rows.count(r) for r in order)
+    assert all((got[a][0] >> shift == got[b][0] >> shift) == (a[0] == b[0]) for a in order for b in order)
