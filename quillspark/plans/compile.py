@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from ..sources.schema import Field, Schema
 from . import ast
 
 K1, B = 1.2, 0.75
-#: Terms that a fuzzy word may expand to.
-EXPANSIONS = 10_000
+#: A fuzzy word's terms, up to so many, are conditions of their own; more are looked up, which decides the form only.
+FEW = 64
 
 
 @dataclass
@@ -383,11 +385,22 @@ def osa(a: str, b: str, most: int = 2) -> int:
     return min(last[-1], most + 1)
 
 
+def with_distance(candidates: DataFrame, most: int) -> DataFrame:
+    """Rows (term, df, word) with the distance of term and word, those within ``most``; computed by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [osa(t, w, most) for t, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            near = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], ["term", "df", "word", "distance"])
+            yield near.filter(pa.array([d <= most for d in found], pa.bool_()))
+
+    return candidates.select("term", F.col("df").cast("long").alias("df"), "word").mapInArrow(run, "term string, df long, word string, distance int")
+
+
 def near_terms(terms: DataFrame, word: str, most: int) -> list[tuple[str, int, int]]:
-    """(term, distance, df) of dictionary rows (term, df) within ``most``, by a native prefilter and the exact distance."""
-    some = terms.where(F.levenshtein(F.col("term"), F.lit(word), 2 * most) >= 0).orderBy("term").limit(EXPANSIONS).collect()
-    found = [(r["term"], osa(r["term"], word, most), r["df"]) for r in some]
-    return [f for f in found if f[1] <= most]
+    """(term, distance, df) of all dictionary rows (term, df) within ``most``; only these come to the driver."""
+    some = terms.where(F.levenshtein(F.col("term"), F.lit(word), 2 * most) >= 0).withColumn("word", F.lit(word))
+    return [(r["term"], r["distance"], r["df"]) for r in with_distance(some, most).orderBy("term").collect()]
 
 
 def dictionary(index: Index, f: Field) -> DataFrame:
@@ -407,12 +420,28 @@ def _fuzzy(index: Index, node: ast.Fuzzy) -> Compiled:
         size = F.size(index.terms(f))
         n, total = index.docs.agg(F.count_if(size > 0), F.sum(F.when(size > 0, size))).first()
         index.stats[f.name] = (n or 0, (total or 0) / n if n else 1.0)
-    match, score = F.lit(False), F.lit(0.0)
-    for term, _, df in near:
-        index.stats[f.name, term] = df
-        one = _one_term(index, f, term)
-        match, score = match | one.match, score + one.score
-    return Compiled(match, score)
+    index.stats.update({(f.name, term): df for term, _, df in near})
+    if len(near) <= FEW:
+        match, score = F.lit(False), F.lit(0.0)
+        for term, _, _df in near:
+            one = _one_term(index, f, term)
+            match, score = match | one.match, score + one.score
+        return Compiled(match, score)
+    # any number of terms: they and their weights are one constant each, met by hash
+    n, average = index.stats[f.name]
+    wanted = F.split(F.lit("\0".join(term for term, *_ in near)), "\0", -1)
+    weights = F.map_from_arrays(wanted, F.split(F.lit(" ".join(repr(idf(n, df)) for *_, df in near)), " ").cast("array<double>"))
+    terms = index.terms(f)
+    match = F.arrays_overlap(terms, wanted)
+
+    def one_score(t: Column) -> Column:
+        if f.kind == "string":
+            return F.element_at(weights, t) / (1 + K1)
+        tf = F.size(F.filter(terms, lambda x: x == t)).cast("double")
+        return F.element_at(weights, t) * tf / (tf + K1 * (1 - B + B * F.size(terms) / max(average, 1e-9)))
+
+    score = F.aggregate(F.array_intersect(terms, wanted), F.lit(0.0), lambda total, t: total + one_score(t))
+    return Compiled(F.coalesce(match, F.lit(False)), F.when(match, score).otherwise(0.0))
 
 
 def _bool(index: Index, node: ast.Bool) -> Compiled:
