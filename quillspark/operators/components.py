@@ -127,9 +127,10 @@ def suggest_highlight(text: str, typed: str) -> str:
 def spellcheck(counts: DataFrame, text: str, most: int = 2) -> list[dict]:
     """For each word of the text that isn't in the dictionary: its nearest term, with UTF-16 offsets in the text.
 
-    All words are looked up in one scan of the dictionary; only terms within reach of a word come to the driver.
+    All words are looked up in one scan of the dictionary; the executors take the distances, and one row a word comes to
+    the driver.
     """
-    from ..plans.compile import osa
+    from ..plans.compile import with_distance
 
     spots = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
     words = sorted({w for w, *_ in spots})
@@ -137,14 +138,9 @@ def spellcheck(counts: DataFrame, text: str, most: int = 2) -> list[dict]:
         return []
     near = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.levenshtein(F.col("term"), w) <= 2 * most)
     found = counts.select("term", "df", F.explode(near).alias("word")).where(F.abs(F.char_length("term") - F.char_length("word")) <= most)
-    rank = Window.partitionBy("word").orderBy(F.levenshtein("term", "word"), "term")
-    rows = found.withColumn("n", F.row_number().over(rank)).where("n <= 2000").collect()
-    known = {r["term"] for r in rows if r["term"] == r["word"]}
-    best: dict[str, tuple[int, str, int]] = {}
-    for r in rows:
-        d = osa(r["term"], r["word"], most)
-        if d <= most and (r["word"] not in best or (d, r["term"]) < best[r["word"]][:2]):
-            best[r["word"]] = (d, r["term"], r["df"])
+    rows = with_distance(found, most).groupBy("word").agg(F.min(F.struct("distance", "term", "df")).alias("best")).collect()
+    best = {r["word"]: tuple(r["best"]) for r in rows}
+    known = {w for w, (d, *_) in best.items() if d == 0}
     utf16 = lambda s: len(s.encode("utf-16-le")) // 2
     return [{"word": w, "start": utf16(text[:a]), "end": utf16(text[:b]), "suggestion": best[w][1], "freq": best[w][2]} for w, a, b in spots if w not in known and w in best]
 

@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import components
 from quillspark.plans import ast, compile
 from quillspark.plans.compile import Index, near_terms
 
@@ -38,3 +39,13 @@ def test_many_terms_match_and_score_as_few(spark, monkeypatch, kind):
     many = run()
     assert {i: m for i, (m, _) in few.items()} == {i: m for i, (m, _) in many.items()} and len({m for m, _ in few.values()}) == 2
     assert all(abs(few[i][1] - many[i][1]) < 1e-9 for i in few)
+
+
+def test_spelling_finds_the_nearest_of_many(spark):
+    """A swapped pair is one step, though thousands of terms before it are as near by single letters."""
+    signs = "0123456789abcdefghijklmnopq"
+    far = {a + "ign"[:k] + b + "ign"[k + 1 :] for a in signs for k in range(3) for b in signs + "rstuvwxyz" if b != "ign"[k]} - {"irgn"}
+    counts = spark.createDataFrame([(t, 3) for t in [*far, "ring", "gizmo"]], "term string, df long")
+    assert len(far) > 2000
+    got = components.spellcheck(counts, "Rign gizmo")
+    assert got == [{"word": "rign", "start": 0, "end": 4, "suggestion": "ring", "freq": 3}]
