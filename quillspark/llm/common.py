@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,21 +17,49 @@ CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
+_folders: dict[str, str] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, as ``spark.checkpoint.dir`` names it; a local one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """This application's folder under the one that ``spark.checkpoint.dir`` names; it goes when the driver ends.
+
+    Where that is unset, a local session gets a temporary folder, and a cluster, whose executors could not share one, an error.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{root or 'file://' + tempfile.mkdtemp(prefix='quillspark-')}/{app}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _folders[app] = path
+    return _folders[app]
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: it is computed once, and its lineage ends there."""
+    """Write ``df`` to the shared folder and read it again: it is computed once, its lineage ends there, and its shuffles go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def discard(found: DataFrame) -> None:
+    """Remove a staged table that no plan reads any more."""
+    spark = found.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(found.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
