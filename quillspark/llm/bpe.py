@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import BYTE_CODES, U64, mix64, only, prefix_hash, range_hash, ranges, spans_of, table, utf8
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Encodings of distinct words that a worker remembers, and bytes of text of one vectorised step.
-REMEMBERED, STEP_BYTES = 200_000, 4 << 20
+#: Encodings of long words, and pairs of tokens, that a worker remembers; bytes of text of one vectorised step.
+REMEMBERED, STEP_BYTES = 20_000, 1 << 20
 #: Longer words are encoded one by one.
 WIDE = 48
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -71,6 +71,29 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start]
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+
+
+def cuts(data: np.ndarray, step: int) -> list[tuple[int, int]]:
+    """Ranges of about ``step`` bytes of one text, cut before a space between two letters, where a match always begins."""
+    out, lo = [], 0
+    while len(data) - lo > step:
+        at, reach = lo + step // 2, step
+        while True:
+            w = data[at : lo + reach]
+            found = np.flatnonzero((w[1:-1] == 0x20) & _LETTERS[w[:-2]] & _LETTERS[w[2:]])
+            if len(found) or lo + reach >= len(data):
+                break
+            at, reach = lo + reach - 2, 2 * reach
+        if not len(found):
+            break
+        cut = at + int(found[-1] if reach == step else found[0]) + 1
+        out.append((lo, cut))
+        lo = cut
+    return [*out, (lo, len(data))]
+
+
 def tail(a, b, c):
     """A place for three bytes."""
     return (a * 1549 ^ b * 257 << 2 ^ c * 5) & 0x3FFFF
@@ -123,6 +146,8 @@ class Vocabulary:
         self.merged: dict[tuple[int, int], int] = {}
         self.fits: dict[int, bool] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
+        self.known_marks, self.known_ids = np.zeros(0, U64), np.zeros(0, np.uint32)
+        self.known_at, self.known_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         get = self.ids.get
         for i, token in enumerate(self.tokens):
             for cut in range(1, len(token)):
@@ -173,7 +198,7 @@ class Vocabulary:
         order = np.lexsort((view[starts + 8], view[starts]))
         s, size = starts[order], sizes[order]
         n, most = len(s), int(size.max())
-        last = np.zeros((most + 1, n), np.int64)
+        last = np.zeros((most + 1, n), np.int32)
         shared = np.zeros(n, bool)
         shared[1:] = True
         number = np.arange(n)
@@ -256,7 +281,7 @@ class Vocabulary:
                     pair = last[begin - 1] << 20 | token
                     ok = fits.get(pair)
                     if ok is None:
-                        if len(fits) > 2_000_000:
+                        if len(fits) > 10 * REMEMBERED:
                             fits.clear()
                         ok = fits[pair] = self.follows(last[begin - 1], token)
                     if not ok:
@@ -284,30 +309,55 @@ class Vocabulary:
             self.words[word] = found
         return found
 
+    def known(self, marks: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``known_ids`` the ids of the words with these (sorted, different) hashes are, and how many; new ones by ``encode``."""
+        if len(self.known_marks) > 10 * REMEMBERED:
+            self.known_marks, self.known_ids = np.zeros(0, U64), np.zeros(0, np.uint32)
+            self.known_at, self.known_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.searchsorted(self.known_marks, marks)
+        new = np.ones(len(marks), bool)
+        inside = place < len(self.known_marks)
+        new[inside] = self.known_marks[place[inside]] != marks[inside]
+        flat, counts = encode(new)
+        at = len(self.known_ids) + np.cumsum(counts) - counts
+        self.known_ids = np.append(self.known_ids, flat)
+        self.known_marks, self.known_at, self.known_counts = (np.insert(a, place[new], b) for a, b in ((self.known_marks, marks[new]), (self.known_at, at), (self.known_counts, counts)))
+        place = np.searchsorted(self.known_marks, marks)
+        return self.known_at[place], self.known_counts[place]
+
     def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts that lie one after the other, and the offsets of each text's ids."""
+        """Ids of all texts that lie one after the other, and the offsets of each text's ids.
+
+        Equal words are encoded once.  They meet by a hash, so the bytes of the result are compared with the text's; if
+        they differ, all words are encoded one by one, by their bytes.
+        """
+        if len(offsets) == 2 and len(data) > 2 * STEP_BYTES:
+            parts = [self.encode_texts(data[a:b], np.array([0, b - a]))[0] for a, b in cuts(data, STEP_BYTES)]
+            if len(parts) > 1:
+                ids = np.concatenate(parts)
+                return ids, np.array([0, len(ids)])
         starts = split_words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], len(data))
-        if len(data) > 2 * STEP_BYTES:
-            prefix, mark = None, np.array([hash(data[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
-        else:
-            prefix = prefix_hash(BYTE_CODES[data])
-            mark = range_hash(prefix, starts, ends)
-        _, first, which = np.unique(mark, return_index=True, return_inverse=True)
-        lo, size = starts[first], (ends - starts)[first]
-        wide = (size > WIDE) | (len(data) > 2 * STEP_BYTES)
-        counts = np.zeros(len(first), np.int64)
-        flat, counts[~wide] = self.encode_many(data, prefix, lo[~wide], size[~wide])
-        at = np.cumsum(counts) - counts
-        if wide.any():
-            found = [self.encode_word(data[a : a + n].tobytes()) for a, n in zip(lo[wide].tolist(), size[wide].tolist())]
-            counts[wide] = [len(f) for f in found]
-            at[wide] = len(flat) + np.cumsum(counts[wide]) - counts[wide]
+        sizes = np.append(starts[1:], len(data)) - starts
+        short = np.flatnonzero(sizes <= WIDE)
+        lo, size = starts[short], sizes[short]
+        prefix = prefix_hash(BYTE_CODES[data])
+        marks, first, which = np.unique(range_hash(prefix, lo, lo + size), return_index=True, return_inverse=True)
+        at, counts = self.known(marks, lambda new: self.encode_many(data, prefix, lo[first[new]], size[first[new]]))
+        flat = self.known_ids
+        many, place = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        many[short], place[short] = counts[which], at[which]
+        alone = np.flatnonzero(sizes > WIDE)
+        if len(alone):
+            found = [self.encode_word(data[a : a + n].tobytes()) for a, n in zip(starts[alone].tolist(), sizes[alone].tolist())]
+            many[alone] = [len(f) for f in found]
+            place[alone] = len(flat) + np.cumsum(many[alone]) - many[alone]
             flat = np.append(flat, np.fromiter((i for f in found for i in f), np.uint32))
-        many = counts[which]
-        ids = flat[ranges(at[which], many)]
+        ids = flat[ranges(place, many)]
+        if not np.array_equal(self.decode(ids), data):
+            found = [self.encode_word(data[a : a + n].tobytes()) for a, n in zip(starts.tolist(), sizes.tolist())]
+            many, ids = np.array([len(f) for f in found]), np.fromiter((i for f in found for i in f), np.uint32)
         upto = np.append(0, np.cumsum(many))
         return ids, upto[np.searchsorted(starts, offsets)]
 
