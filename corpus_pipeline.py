@@ -19,30 +19,30 @@ def _with_text(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters and those below the calibrated score go."""
-    model = language.fit(docs)
-    return language.identify(docs, model).where(~F.col("lang_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose language is recognised; those below the calibrated score go, and texts that are null, empty or without letters."""
+    return language.recognised(docs, language.fit(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines like earlier ones; documents of which no word is left go."""
-    found = line_dedup.dedup(docs)
-    return _with_text(found.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")), docs.columns)
+    """Texts without lines like earlier ones; documents that lose their last word go, null and empty texts stay as they are."""
+    return _with_text(line_dedup.dedup_rows(docs), docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each cluster of near-duplicates."""
+    """The first document of each cluster of near-duplicates; texts without words are clusters of their own, equal rows one document."""
     return near_dedup.dedup(docs)
 
 
 def dedup_suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 100-byte strings that start earlier; signs that this cuts in two and emptied documents go."""
-    found = suffix_dedup.dedup_rows(docs)
-    return _with_text(found, docs.columns)
+    """Texts without the bytes of 100-byte strings that start earlier; signs that this cuts in two and emptied documents go.
+
+    Null, empty and short texts stay as they are.
+    """
+    return _with_text(suffix_dedup.dedup_rows(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 1024 tokens."""
+    """The pieces of all documents with their places in sequences of at most 1024 tokens; null and empty texts are one end sign."""
     return packing.pack_documents(docs, packing.rank_path())
 
 

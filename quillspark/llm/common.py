@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -141,7 +142,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Sums H with H[j] - H[i], shifted back by i, being the hash of codes[i:j]."""
+    """Sums H with H[j] - H[i], shifted back by i, being the hash of codes[i:j].
+
+    For short ranges, or where equality is checked after it: from 1 024 codes on, regular sequences of two can collide.
+    """
     out = np.zeros(len(codes) + 1, U64)
     with np.errstate(over="ignore"):
         np.cumsum(codes * powers(len(codes))[0], out=out[1:])
@@ -155,6 +159,36 @@ def range_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
         return mix64(x + (hi - lo).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+def chain_hash(values: np.ndarray, lo: np.ndarray, count: np.ndarray, step: int = 1) -> np.ndarray:
+    """Hash of values[lo], values[lo + step], ... (count) for each range, mixed after every value, so that no sums can cancel out."""
+    out = mix64(count.astype(U64))
+    live = np.arange(len(lo))
+    with np.errstate(over="ignore"):
+        for k in range(int(count.max()) if len(count) else 0):
+            live = live[count[live] > k]
+            out[live] = mix64(out[live] * U64(0x9E3779B97F4A7C15) ^ values[lo[live] + step * k])
+    return out
+
+
+def bytes_hash(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``chain_hash`` of byte ranges of at least eight bytes, eight at a time; the last eight end with the range."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    view = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        return mix64(chain_hash(view, lo, (size - 1) >> 3, 8) * U64(0x9E3779B97F4A7C15) ^ view[lo + size - 8] ^ size.astype(U64))
+
+
+#: Words of more bytes are hashed by a digest: the sums of ``prefix_hash`` can collide on long regular ones.
+LONG_WORD = 64
+
+
+def digest_long(codes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``codes`` of words with those of long words replaced by a digest of their bytes."""
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        codes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return codes
+
+
 WORD_GAP = np.zeros(256, bool)
 WORD_GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 

@@ -9,14 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import only, spans_of, table, utf8
 
 #: Buckets and width of the subword embeddings; subwords are runs of so many bytes.
 BUCKETS_BITS, WIDTH, GRAMS = 15, 16, (2, 3, 4)
-#: About so many labelled documents are learned from at most, shared evenly by the languages; every fifth is held back
-#: to calibrate.  More languages than MOST are not learned (the most frequent are).
-SAMPLE, MOST, EPOCHS, RATE = 3000, 200, 4, 0.5
+#: About so many labelled documents are learned from at most, shared evenly by the languages, but LEAST_ROWS of each
+#: language however many there are; every fifth is held back to calibrate.
+SAMPLE, LEAST_ROWS, EPOCHS, RATE = 3000, 10, 4, 0.5
 #: Share of rightly labelled documents that may be rejected when calibrating.
 LOST = 0.002
 UNDETERMINED = "und"
@@ -151,13 +152,13 @@ def learned_rows(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Model | None:
     """Learn from the documents that ``learned_rows`` allows and that have a language; None if there are none."""
     docs = only(docs, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned_rows(F.col("doc_id")))
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
-    quota = SAMPLE / len(counts)
+    quota = max(SAMPLE / len(counts), LEAST_ROWS)
     share = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], int(min(1.0, quota / c["count"]) * (1 << 30)))])
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0)))
-    rows = sample.orderBy(F.xxhash64("doc_id"), "text").limit(2 * SAMPLE).collect()
+    rows = sample.orderBy(F.xxhash64("doc_id"), "text").limit(int(2 * quota * len(counts))).collect()
     return train([r["text"].encode() for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
@@ -170,41 +171,53 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def judged(text: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Label, score and whether it is rejected, of each text."""
+    data, offsets = utf8(text)
+    labels, scores, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
+    for lo, hi in spans_of(offsets, 1 << 20):
+        part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        known = has_letter(part, offs)
+        if model is None:
+            known[:] = False
+            best, score = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
+        else:
+            p = model.scores(model.logits(part, offs))
+            best, score = p.argmax(1), p.max(1)
+        labels += [model.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
+        scores.append(np.where(known, score, 0.0))
+        rejected.append(~known | (score < (model.least if model else 0)))
+    return labels, np.concatenate(scores), np.concatenate(rejected)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` and lang_pred, lang_score, lang_rejected; by the column ``text`` alone.
 
     Text that is null or has no letter is ``und`` with score 0 and rejected; so is all text if nothing could be learned.
-    Other text is rejected if its score is below the calibrated least score.
+    Other text is rejected if its score is below the calibrated least score.  Columns of ``docs`` with the names of the
+    three give way to them.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a fixed size: buckets x width
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
+    docs = docs.drop(*[f.name for f in added])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: buckets x width
 
     def run(batches):
-        import pyarrow.compute as pc
+        for batch in batches:
+            labels, scores, rejected = judged(batch.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores), pa.array(rejected)], [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
-        own = shared.value
+
+def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` does not reject, with all their columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
         for batch in batches:
-            text = batch.column("text")
-            data, offsets = utf8(text)
-            labels, scores, rejected = [], [], []
-            for lo, hi in spans_of(offsets, 1 << 20):
-                part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                known = has_letter(part, offs)
-                if own is None:
-                    known[:] = False
-                    best, score = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
-                else:
-                    p = own.scores(own.logits(part, offs))
-                    best, score = p.argmax(1), p.max(1)
-                labels += [own.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
-                scores.append(np.where(known, score, 0.0))
-                rejected.append(~known | (score < (own.least if own else 0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(rejected) if rejected else [], pa.bool_())], [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+            yield batch.filter(pa.array(~judged(batch.column("text"), shared.value)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

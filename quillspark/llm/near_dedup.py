@@ -9,6 +9,7 @@ bands; a pair is linked if the weighted Jaccard similarity of its whole shingle
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ def folded(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Bags:
-    """Distinct shingles of texts: hash and count of each, where each text's begin, and two hashes of each text's words."""
+    """Distinct shingles of texts: hash and count of each, where each text's begin, and the digest of each text's words in two halves."""
 
     shingles: np.ndarray
     counts: np.ndarray
@@ -57,6 +58,18 @@ class Bags:
     words: np.ndarray
 
 
+def text_digests(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a digest of each text's words, joined by one space."""
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    plain = np.where(inside, data, np.uint8(32))[keep]
+    cuts = np.append(0, np.cumsum(keep))[offsets].tolist()
+    raw = plain.tobytes()
+    digests = b"".join(hashlib.blake2b(raw[i:j].strip(b" "), digest_size=16).digest() for i, j in zip(cuts[:-1], cuts[1:]))
+    pairs = np.frombuffer(digests, U64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
 def bags(data: np.ndarray, offsets: np.ndarray) -> Bags:
     data = folded(data)
     inside = np.zeros(len(data) + 2, bool)
@@ -67,9 +80,7 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> Bags:
     at = np.searchsorted(starts, offsets)
     sizes = np.diff(at)
     prefix = prefix_hash(codes)
-    one = range_hash(prefix, at[:-1], at[1:])
-    with np.errstate(over="ignore"):
-        two = range_hash(prefix_hash(mix64(codes + U64(77))), at[:-1], at[1:])
+    one, two = text_digests(data, inside[1:-1], offsets)
     many = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, (sizes > 0).astype(np.int64))
     lo = ranges(at[:-1], many)
     owner = np.repeat(np.arange(len(sizes)), many)
@@ -341,9 +352,10 @@ def dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in names])
     # repeated or null ids: rows are told apart by their texts' places
     texts = ids.join(found.where("place = class"), "place", "left_semi").select(F.col("id").alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    keyed = keyed.dropDuplicates(["_id", "_hash"])
-    return keyed.join(texts, keyed["_id"].eqNullSafe(texts["_id"]) & (keyed["_hash"] == texts["_hash"]), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash")).dropDuplicates(["id", "hash"])
+    kept = keyed.join(texts, keyed["id"].eqNullSafe(texts["_id"]) & (keyed["hash"] == texts["_hash"]), "left_semi")
+    return kept.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

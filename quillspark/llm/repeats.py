@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, CHUNK_BYTES, U64, by_bucket, longs, mix64, only, pack, partitions, powers, prefix_hash, range_hash, ranges, spans_of, staged, unpack, utf8, word_ranges
+from .common import BYTE_CODES, CHUNK_BYTES, U64, by_bucket, bytes_hash, chain_hash, digest_long, longs, mix64, only, pack, partitions, powers, prefix_hash, range_hash, ranges, spans_of, staged, unpack, utf8, word_ranges
 
 ROWS = "bucket int, kind int, payload binary"
 ROWS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -64,6 +64,7 @@ class Units:
     bounds: np.ndarray
     docs: np.ndarray
     base: np.ndarray
+    raw: np.ndarray | None = None
 
 
 def segments(plan: Plan, docs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[Units]:
@@ -74,9 +75,9 @@ def segments(plan: Plan, docs: np.ndarray, data: np.ndarray, offsets: np.ndarray
             if hi - lo == 1 and len(part) > CHUNK_BYTES:
                 for at in range(0, len(part) - plan.window + 1, CHUNK_BYTES):
                     cut = part[at : at + CHUNK_BYTES + plan.window - 1]
-                    yield Units(BYTE_CODES[cut], np.array([0, len(cut)]), docs[lo:hi], np.array([at]))
+                    yield Units(BYTE_CODES[cut], np.array([0, len(cut)]), docs[lo:hi], np.array([at]), cut)
                 continue
-            yield Units(BYTE_CODES[part], offs, docs[lo:hi], np.zeros(hi - lo, np.int64))
+            yield Units(BYTE_CODES[part], offs, docs[lo:hi], np.zeros(hi - lo, np.int64), part)
         else:
             starts, ends = word_ranges(part)
             if hi - lo > 1 and len(starts):  # words end where documents do
@@ -103,14 +104,14 @@ def split_at(starts: np.ndarray, ends: np.ndarray, offs: np.ndarray) -> tuple[np
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if len(data) <= CHUNK_BYTES + 4096:
-        return range_hash(prefix_hash(BYTE_CODES[data]), starts, ends)
+        return digest_long(range_hash(prefix_hash(BYTE_CODES[data]), starts, ends), data, starts, ends)
     out, at = [], 0
     while at < len(starts):  # pieces of whole words keep the hash's powers short
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, "right")))
         piece = data[starts[at] : ends[to - 1]]
         out.append(range_hash(prefix_hash(BYTE_CODES[piece]), starts[at:to] - starts[at], ends[at:to] - starts[at]))
         at = to
-    return np.concatenate(out) if out else np.zeros(0, U64)
+    return digest_long(np.concatenate(out), data, starts, ends) if out else np.zeros(0, U64)
 
 
 def slices(plan: Plan, u: Units) -> tuple[np.ndarray, ...]:
@@ -140,7 +141,7 @@ def slices(plan: Plan, u: Units) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(start)))
     lo, at = start[first], anchor[first]
     hi = lo + count - 1
-    mark = range_hash(prefix, lo, hi + w)
+    mark = chain_hash(u.codes, lo, count + (w - 1)) if u.raw is None else bytes_hash(u.raw, lo, count + (w - 1))
     with np.errstate(over="ignore"):
         mark = mix64(mark + (at - lo).astype(U64))
     doc = np.searchsorted(u.bounds, lo, "right") - 1
