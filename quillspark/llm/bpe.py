@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BYTE_CODES, U64, mix64, only, prefix_hash, range_hash, ranges, spans_of, table, utf8
+from .common import BYTE_CODES, U64, mix64, only, prefix_hash, range_hash, ranges, spans_of, table, through, utf8
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Encodings of long words, and pairs of tokens, that a worker remembers; bytes of text of one vectorised step.
@@ -433,7 +433,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         for batch, lo, hi, ids, at in encoded(batches, path):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
+    return only(docs, doc_id="long", text="string").transform(through, run, "doc_id long, ids array<int>")
 
 
 def detokenize(tokens: DataFrame, path: str) -> DataFrame:
@@ -445,7 +445,7 @@ def detokenize(tokens: DataFrame, path: str) -> DataFrame:
             out = [None if not x.is_valid else words.decode(x.values.to_numpy(zero_copy_only=False)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "text"])
 
-    return only(tokens, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, text binary")
+    return only(tokens, doc_id="long", ids="array<int>").transform(through, run, "doc_id long, text binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -471,7 +471,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return only(docs, doc_id="long", text="string").transform(through, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

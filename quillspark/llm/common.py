@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 import tempfile
 import uuid
@@ -63,6 +66,29 @@ def discard(found: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of one Arrow batch between the JVM and Python: many rows, or one long text.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def tidied(run, batches):
+    """The batches that ``run`` makes; then the worker, which serves other tasks, gives back the memory that it no longer uses."""
+    try:
+        yield from run(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def through(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_BYTES at most, which the session keeps to from then on."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) != str(BATCH_BYTES):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(functools.partial(tidied, run), schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

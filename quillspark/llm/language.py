@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, spans_of, table, utf8
+from .common import only, spans_of, table, through, utf8
 
 #: Buckets and width of the subword embeddings; subwords are runs of so many bytes.
 BUCKETS_BITS, WIDTH, GRAMS = 15, 16, (2, 3, 4)
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             labels, scores, rejected = judged(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores), pa.array(rejected)], [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.transform(through, run, T.StructType([*docs.schema.fields, *added]))
 
 
 def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -217,7 +217,7 @@ def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(~judged(batch.column("text"), shared.value)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(through, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, U64, longs, mix64, partitions, prefix_hash, range_hash, ranges, spans_of, staged, table, utf8
+from .common import BYTE_CODES, U64, longs, mix64, partitions, prefix_hash, range_hash, ranges, spans_of, staged, table, through, utf8
 from .components import components
 from .repeats import places, split_at, with_ids, word_codes
 
@@ -124,7 +124,7 @@ def shingle_weights(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()])], ["slice", "counts"])
 
     # first by a few tasks for each slice, then one, so that no task adds the tables of all
-    parts = docs.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
+    parts = docs.transform(through, count, "slice int, counts binary").repartition(SLICES, "slice").transform(through, add, "slice int, counts binary").collect()
     found = {r[0]: np.frombuffer(r[1], np.int64) for r in parts}
     if not found:
         return np.ones(size, np.float32)
@@ -184,7 +184,7 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(have) + 1, BANDS), pa.int32()), pa.array(np.ascontiguousarray(bands[have]).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(ids[have]), pa.array(b.one[have].view(np.int64)), pa.array(b.two[have].view(np.int64)), lists], ["doc_id", "one", "two", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, one long, two long, bands array<long>")
+    return docs.transform(through, run, "doc_id long, one long, two long, bands array<long>")
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -203,7 +203,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
                 total |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["bits"])
 
-    parts = keys.coalesce(12).mapInArrow(mark, "bits binary").repartition(2).mapInArrow(join, "bits binary").collect()
+    parts = keys.coalesce(12).transform(through, mark, "bits binary").repartition(2).transform(through, join, "bits binary").collect()
     total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for r in parts:
         total |= np.frombuffer(r[0], np.uint8)
@@ -226,7 +226,7 @@ def weighted_sets(docs: DataFrame, weights: np.ndarray, keys: DataFrame) -> Data
             cuts = list(zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([b.shingles[i:j].tobytes() for i, j in cuts], pa.binary()), pa.array([w[i:j].tobytes() for i, j in cuts], pa.binary())], ["doc_id", "shingles", "weights"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary, weights binary")
+    return docs.transform(through, run, "doc_id long, shingles binary, weights binary")
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -259,7 +259,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-    return rows.mapInArrow(run, "a long, b long, similarity double")
+    return rows.transform(through, run, "a long, b long, similarity double")
 
 
 def links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -307,7 +307,7 @@ def links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    more = staged(rows.mapInArrow(run, "a long, b long"), "similar")
+    more = staged(rows.transform(through, run, "a long, b long"), "similar")
     return good.unionAll(more)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoded
-from .common import longs, only, partitions, staged, table
+from .common import longs, only, partitions, staged, table, through
 
 WINDOW, END_ID = 1024, 0
 #: The tokenizer's own special token; its string in a text is one id there, before any merge.
@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, special: bool = Tru
                     total.append(n)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(doc, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return only(docs, doc_id="long", text="string").transform(through, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(found: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -213,7 +213,7 @@ def pack(found: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{c} {t}" for c, t in found.dtypes if c != "_share") + ", sequence_id long, offset long"
-    return ranked.select(*names, "_rank").mapInArrow(place, schema)
+    return ranked.select(*names, "_rank").transform(through, place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, special: bool = True) -> DataFrame:

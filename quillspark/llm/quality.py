@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, only, prefix_hash, range_hash, spans_of, staged, table, utf8, word_ranges
+from .common import BYTE_CODES, only, prefix_hash, range_hash, spans_of, staged, table, through, utf8, word_ranges
 
 #: Random features, kernel width in standard deviations, ridge, and bins of the calibration.
 FEATURES, SPREAD, RIDGE, BINS, SEED = 256, 3.0, 1e-3, 1024, 11
@@ -99,7 +99,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "stats"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, stats array<double>")
+    return only(docs, doc_id="long", text="string").transform(through, run, "doc_id long, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def summed(df: DataFrame, columns: list[str], size: int, add) -> np.ndarray:
                 total += np.frombuffer(x.as_buffer(), np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    parts = df.select(*columns).mapInArrow(partial, "sums binary").repartition(8).mapInArrow(join, "sums binary").collect()
+    parts = df.select(*columns).transform(through, partial, "sums binary").repartition(8).transform(through, join, "sums binary").collect()
     return np.sum([np.frombuffer(r[0], np.float64) for r in parts], axis=0) if parts else np.zeros(size)
 
 
@@ -222,7 +222,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1))))], ["doc_id", "score"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", "stats").transform(through, run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, CHUNK_BYTES, U64, by_bucket, bytes_hash, chain_hash, digest_long, longs, mix64, only, pack, partitions, powers, prefix_hash, range_hash, ranges, spans_of, staged, unpack, utf8, word_ranges
+from .common import BYTE_CODES, CHUNK_BYTES, U64, by_bucket, bytes_hash, chain_hash, digest_long, longs, mix64, only, pack, partitions, powers, prefix_hash, range_hash, ranges, spans_of, staged, through, unpack, utf8, word_ranges
 
 ROWS = "bucket int, kind int, payload binary"
 ROWS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 SETTLED, ASKED, ANCHOR, TEXT = 0, 1, 2, 3
 #: Slices held by one task before they are packed and sent.
-FLUSH = 1_500_000
+FLUSH = 750_000
 #: A key that is in so many of the sampled documents is spread; as many keys are kept at most.
 HEAVY_DOCS, HEAVY_KEYS, SAMPLE = 24, 1 << 16, 64
 #: Different slices of one key that one task compares before they are spread by window.
@@ -442,7 +442,7 @@ def heavy_keys(plan: Plan, docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], ["key"])
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    found = sample.mapInArrow(keys, "key long").groupBy("key").count().where(F.col("count") >= HEAVY_DOCS).orderBy(F.desc("count"), "key").limit(HEAVY_KEYS).select("key").collect()
+    found = sample.transform(through, keys, "key long").groupBy("key").count().where(F.col("count") >= HEAVY_DOCS).orderBy(F.desc("count"), "key").limit(HEAVY_KEYS).select("key").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(U64))
 
 
@@ -472,7 +472,7 @@ def numbered(keys: DataFrame) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs), pa.array(ranks)], ["none", "id", "sha", "part", "run", "rank"])
 
     parted = keys.repartitionByRange(n, "none", "id", "sha").sortWithinPartitions("none", "id", "sha").withColumn("part", F.spark_partition_id())
-    counted = staged(parted.mapInArrow(count, "none boolean, id long, sha binary, part int, run long, rank long"), "places-counted")
+    counted = staged(parted.transform(through, count, "none boolean, id long, sha binary, part int, run long, rank long"), "places-counted")
     ident = F.struct("none", "id")
     ends = counted.groupBy("part").agg(F.min(ident).alias("lo"), F.max(ident).alias("hi"), F.max(F.struct("run", "rank")).alias("last"), F.max(F.when(F.col("run") == 0, F.col("rank"))).alias("first"), F.max("rank").alias("most"))
     bases, runs, ranks, most, hi = [], 0, 0, 0, None
@@ -526,18 +526,18 @@ def find_repeats(docs: DataFrame, shift: int, unit: str, window: int, gram: int,
     n = partitions(docs.sparkSession)
     plan = Plan(unit, window, gram, earlier_place, 4 * n, shift)
     heavy = heavy_keys(plan, docs)
-    first = docs.mapInArrow(anchors(plan, heavy), ROWS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare_keys(plan, heavy), ROWS)
+    first = docs.transform(through, anchors(plan, heavy), ROWS).repartition(n, "bucket").sortWithinPartitions("bucket").transform(through, compare_keys(plan, heavy), ROWS)
     first = staged(first, "repeats-keys")
     asked = first.where(F.col("kind") == ASKED)
-    cut = with_texts(docs, asked, plan.buckets).mapInArrow(cut_slices(plan), ROWS)
-    second = staged(cut.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare_slices(plan, repeated), ROWS), "repeats-windows")
+    cut = with_texts(docs, asked, plan.buckets).transform(through, cut_slices(plan), ROWS)
+    second = staged(cut.repartition(n, "bucket").sortWithinPartitions("bucket").transform(through, compare_slices(plan, repeated), ROWS), "repeats-windows")
     return first.where(F.col("kind") == SETTLED).unionAll(second), plan
 
 
 def with_texts(docs: DataFrame, other: DataFrame, buckets: int) -> DataFrame:
     """Packed rows and packed texts of each bucket together, the rows first."""
     n = partitions(docs.sparkSession)
-    return docs.mapInArrow(pack_texts(buckets), ROWS).unionAll(other).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    return docs.transform(through, pack_texts(buckets), ROWS).unionAll(other).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def over_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

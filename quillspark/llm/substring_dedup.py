@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, word_ranges
+from .common import table, through, word_ranges
 from .repeats import covered, find_repeats, over_texts, places, with_ids, with_texts
 
 WINDOW, GRAM = 50, 14
@@ -112,7 +112,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], schema=schema)
 
-    out = with_texts(placed, found, plan.buckets).mapInArrow(finish, "place long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    out = with_texts(placed, found, plan.buckets).transform(through, finish, "place long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
     return with_ids(out, ids)
 
 

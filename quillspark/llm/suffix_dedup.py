@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, table
+from .common import ranges, table, through
 from .deep_shallow import suffix_order
 from .repeats import covered, find_repeats, over_texts, places, with_ids, with_texts
 
@@ -36,8 +36,8 @@ def repeated_suffixes(key, doc, start, count, size, body: bytes):
     return d[gone], p[gone], np.ones(int(gone.sum()), np.int32)
 
 
-def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, hash (of the whole text) and kept (bytes left).
+def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, hash (of the whole text) and kept (bytes left, or text without broken signs).
 
     A byte goes if a WINDOW-byte string over it also starts earlier: in a document of smaller id, or before it in its
     own.  Null texts are empty, texts below WINDOW bytes stay whole.  Rows that repeat an id and a text are one document
@@ -46,7 +46,7 @@ def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False) ->
     placed, shift, ids = places(docs)
     found, plan = find_repeats(placed, shift, "byte", WINDOW, GRAM, True, repeated_suffixes)
     names = ["place", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["hash"] * whole_hash, *["kept"] * with_text]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * whole_hash, *[pa.binary()] * with_text]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * whole_hash, *[pa.string() if as_text else pa.binary()] * with_text]
     schema = pa.schema(list(zip(names, kinds)))
 
     def finish(batches):
@@ -61,7 +61,7 @@ def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False) ->
             else:
                 kept, spans = text.tobytes(), 0
             own = [int(np.uint64(xxhash.xxh64_intdigest(text.tobytes(), seed=42)).astype(np.int64))] if whole_hash else []  # F.xxhash64
-            some.append((place, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), *own, *[kept] * with_text))
+            some.append((place, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), *own, *[kept.decode("utf-8", "ignore") if as_text else kept] * with_text))
             size += len(kept) * with_text + 100
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], schema=schema)
@@ -69,17 +69,10 @@ def dedup(docs: DataFrame, with_text: bool = True, whole_hash: bool = False) ->
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], schema=schema)
 
-    out = with_texts(placed, found, plan.buckets).mapInArrow(finish, "place long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", hash long" * whole_hash + ", kept binary" * with_text)
+    out = with_texts(placed, found, plan.buckets).transform(through, finish, "place long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", hash long" * whole_hash + f", kept {'string' if as_text else 'binary'}" * with_text)
     return with_ids(out, ids)
 
 
-def whole_signs(batches):
-    """The last column, bytes, as text without broken signs."""
-    for batch in batches:
-        text = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.columns[-1]], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], batch.schema.names)
-
-
 def dedup_rows(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with what ``dedup`` leaves of the text; rows that lose all of it go.
 
@@ -89,7 +82,7 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
     bare = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    found = dedup(bare, whole_hash=True).where("n_removed > 0").mapInArrow(whole_signs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, hash long, kept string")
+    found = dedup(bare, whole_hash=True, as_text=True).where("n_removed > 0")
     cut = found.select(F.col("doc_id").alias("cut_id"), F.col("hash").alias("cut_hash"), (F.col("n_bytes") > F.col("n_removed")).alias("left"), "kept").dropDuplicates(["cut_id", "cut_hash"])
     joined = keyed.join(cut, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left").where(F.coalesce("left", F.lit(True)))
     text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.col("kept"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, partitions, staged, table
+from .common import only, partitions, staged, table, through
 from .components import components
 
 TOP, QUERY_STEP, LEVELS = 20, 20, 64
@@ -47,7 +47,7 @@ def packed_blocks(rows: DataFrame, vector: str, kind: str, size: int) -> DataFra
         for width in list(held):
             yield flush(width)
 
-    return rows.select("vec_id", vector).mapInArrow(run, "width int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
+    return rows.select("vec_id", vector).transform(through, run, "width int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def threshold_top(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -132,7 +132,7 @@ def top_k(embeddings: DataFrame, top: int = TOP, query_step: int = QUERY_STEP) -
                 sizes = [len(f[1]) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]), pa.int64())], ["query_id", "vec_id", "score"])
 
-    near = work.mapInArrow(run, "query_id long, vec_id long, score long")
+    near = work.transform(through, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
@@ -272,7 +272,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
                 cells[at, : p.shape[1]] = p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(width, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), LEADING).cast(pa.list_(pa.int64()))], ["embedding", "vec_id", "many", "width", "cells"])
 
-    ordered = classes.select("embedding", "vec_id", "many").mapInArrow(in_cells, "embedding array<double>, vec_id long, many long, width int, cells array<long>")
+    ordered = classes.select("embedding", "vec_id", "many").transform(through, in_cells, "embedding array<double>, vec_id long, many long, width int, cells array<long>")
     ordered = ordered.repartitionByRange(n, "width", "cells").sortWithinPartitions("width", "cells", "vec_id")
 
     def in_blocks(batches):
@@ -296,7 +296,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
         if held:
             yield flush()
 
-    blocks = ordered.mapInArrow(in_blocks, "width int, lo array<double>, hi array<double>, ids binary, many binary, data binary").withColumn("block", F.monotonically_increasing_id())
+    blocks = ordered.transform(through, in_blocks, "width int, lo array<double>, hi array<double>, ids binary, many binary, data binary").withColumn("block", F.monotonically_increasing_id())
     blocks = staged(blocks, "vector-blocks")
     first = lambda side, more: F.explode(F.sequence(F.floor(F.col("lo")[0] / reach) - more, F.floor(F.col("hi")[0] / reach) + more)).alias(side)
     left = blocks.select("width", F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), first("cell", 0))
@@ -318,7 +318,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
                 ids, links, near = join_blocks(a, b, ids_a, ids_b, many_a, many_b, axes[w], least, same)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array(near, pa.int64())], ["a", "n", "b"])
 
-    found = staged(work.mapInArrow(link, "a long, n long, b long"), "vector-links")
+    found = staged(work.transform(through, link, "a long, n long, b long"), "vector-links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     parts = components(found.select("a", "b"))
     members = whole.join(classes, "embedding").select(whole["vec_id"].alias("vec_id"), classes["vec_id"].alias("class"), "many")
