@@ -23,13 +23,20 @@ from ..plans.grammar import parse_query
 from .schema import Field, Schema, build
 
 
+_folders: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, a temporary one for a local session alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        _folders[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+    return _folders[app]
 
 
 def overwrite(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
