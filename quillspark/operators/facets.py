@@ -125,24 +125,37 @@ def distinct_groups(group: Column) -> Column:
     return F.count_distinct(group) + F.max(F.when(group.isNull(), 1).otherwise(0))
 
 
-def nested(hits: DataFrame, levels: list[tuple[str, Column, int, str]], best: dict[str, Column] | None = None, mincount: int = 1) -> DataFrame:
+def nested(hits: DataFrame, levels: list[tuple], best: dict[str, Column] | None = None, mincount: int = 1) -> DataFrame:
     """One row for each bucket of nested term facets: the values down to it, its depth, count and maxima.
 
-    ``levels``: name, value, limit, order (``count desc`` or ``index asc``) of each, from the outermost.  A bucket is
+    ``levels``: name, value, limit, order (``count desc`` or ``index asc``) of each, from the outermost, and if they
+    differ from the rest its least count and whether the value is an array, each member of which counts.  A bucket is
     there only if its parent is: ranks within a parent are taken level by level, over counts, not over rows.
     """
     best = best or {}
-    names = [n for n, *_ in levels]
-    flat = hits.select(*[v.alias(n) for n, v, *_ in levels], *[m.alias(k) for k, m in best.items()])
+    names = [level[0] for level in levels]
+    flat = hits.select(*[level[1].alias(level[0]) for level in levels], *[m.alias(k) for k, m in best.items()])
+    for name, *more in levels:
+        if more[4:] and more[4]:
+            flat = flat.withColumn(name, F.explode_outer(F.array_distinct(name)))
+    kinds = dict(flat.dtypes)
     out, chosen = None, None
-    for depth, (name, _, limit, order) in enumerate(levels):
-        keys = names[: depth + 1]
-        counts = flat.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), *[F.max(k).alias(k) for k in best]).where(F.col("count") >= mincount)
+    for depth, (name, _, limit, order, *more) in enumerate(levels):
+        keys, least = names[: depth + 1], more[0] if more else mincount
+        shown = flat if depth + 1 == len(levels) else flat.drop(*names[depth + 1 :])
+        if any(level[5:] and level[5] for level in levels[depth + 1 :]):  # rows that deeper arrays repeat
+            shown = hits.select(*[level[1].alias(level[0]) for level in levels[: depth + 1]], *[m.alias(k) for k, m in best.items()])
+            for n, *rest in levels[: depth + 1]:
+                if rest[4:] and rest[4]:
+                    shown = shown.withColumn(n, F.explode_outer(F.array_distinct(n)))
+        counts = shown.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), *[F.max(k).alias(k) for k in best]).where(F.col("count") >= least)
         if chosen is not None:
             counts = counts.join(chosen, keys[:-1], "left_semi")
         rank = Window.partitionBy(*keys[:-1]).orderBy(*([F.desc("count"), F.asc(name)] if order.startswith("count") else [F.asc(name)]))
-        kept = counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit) if limit >= 0 else counts.withColumn("rank", F.row_number().over(rank))
+        kept = counts.withColumn("rank", F.row_number().over(rank))
+        if limit >= 0:
+            kept = kept.where(F.col("rank") <= limit)
         chosen = kept.select(*keys)
-        level = kept.select(F.lit(depth).alias("depth"), *[F.col(n) if n in keys else F.lit(None).cast("string").alias(n) for n in names], F.col("count"), F.col("rank"), *best)
+        level = kept.select(F.lit(depth).alias("depth"), *[F.col(n) if n in keys else F.lit(None).cast(kinds[n]).alias(n) for n in names], F.col("count"), F.col("rank"), *best)
         out = level if out is None else out.unionByName(level)
     return out

@@ -36,8 +36,9 @@ def geo_node(local: Local, params: Params, box: bool) -> ast.Node:
 def parse_any(text: str, index: Index, params: Params) -> ast.Node:
     """A block at the start decides the kind of query; otherwise it is the boolean language."""
     local = parse_local(text)
+    inner = lambda block: parse_any(block, index, params)
     if local is None or local.kind is None:
-        return parse_query(local.rest if local else text)
+        return parse_query(local.rest if local else text, inner)
     body = local.values.get("v", local.rest)
     if body.startswith("$"):
         body = params.get(body[1:], "")
@@ -62,7 +63,7 @@ def parse_any(text: str, index: Index, params: Params) -> ast.Node:
             v = local.values
             return edismax(body, index.schema, qf=v.get("qf", params.get("qf", "")), pf=v.get("pf", params.get("pf", "")), tie=float(v.get("tie", params.get("tie", "0"))), mm=v.get("mm", params.get("mm")))
         case "lucene":
-            return parse_query(body)
+            return parse_query(body, inner)
     raise RequestError(f"unknown query type {local.kind}")
 
 
@@ -78,6 +79,7 @@ class Search:
 
     def __init__(self, core: Core, params: Params) -> None:
         self.core, self.params = core, params
+        self.warnings: list[str] = []
         self.keys = ordering.parse_sort(params.get("sort", ""))
         self.index = core.index(params.get("df"))
         q = params.get("q")
@@ -201,6 +203,8 @@ class Search:
             f = self.index.field(p.get("spellcheck.dictionary") if self.core.schema.find(p.get("spellcheck.dictionary", "")) else None)
             found = components.spellcheck(dictionary(self.index, f), p.get("spellcheck.q") or p.get("q"))
             out["spellcheck"] = {"suggestions": found, "collations": [components.collation(p.get("spellcheck.q") or p.get("q"), found)] if found else []}
+        if self.warnings and "responseHeader" in out:
+            out["responseHeader"] = {"warnings": self.warnings} | out["responseHeader"]
         return out
 
     def groups(self, seen: DataFrame, fields, score, computed, start: int, rows: int) -> dict:
@@ -284,6 +288,8 @@ class Search:
                 named[label] = []
                 continue
             c = self.index.column(name)
+            if f.kind not in ("string", "text") and int(read("mincount", "0")) <= 0:
+                self.warnings.append(f"facet.mincount of {name} counts as 1: a field of numbers or dates has no list of terms")
             known = self.index.docs.select((F.explode(c) if f.array else c).alias("value")).where("value is not null") if f.kind in ("string", "text") else None
             limit = int(read("limit", "100"))
             found = facets.terms(hits, c, multi=f.array, dictionary=known, limit=limit, mincount=int(read("mincount", "0")), sort=p.for_field(name, "facet.sort") or ("count" if limit > 0 else "index"), distinct=group).collect()
@@ -294,41 +300,57 @@ class Search:
         return {"facet_queries": plain, "facet_fields": named, "facet_ranges": ranges, "facet_intervals": {}, "facet_heatmaps": maps}
 
     def json_facets(self, seen: DataFrame, spec: dict) -> dict:
-        out: dict = {"count": seen.count()}
-
-        def walk(hits: DataFrame, part: dict, into: dict) -> None:
-            for label, s in part.items():
-                if isinstance(s, str):
-                    if not (s.startswith("max(") and s.endswith(")")):
-                        raise RequestError(f"json.facet: unknown aggregation {s}")
-                    name = s[4:-1].strip()
-                    c = F.col("_version_") if name == "_version_" else self.index.column(self.fast(name, "json.facet").name)
-                    if name != "_version_" and self.core.schema.find(name).kind not in ("int", "float"):
-                        raise RequestError(f"json.facet: no maximum of {name}")
-                    best = hits.agg(F.max(c)).first()[0]
-                    if best is not None:
-                        into[label] = best
-                    continue
-                for k in s:
-                    if k not in ("type", "field", "limit", "mincount", "sort", "facet"):
-                        raise RequestError(f"json.facet: unknown key {k}")
-                if s.get("type") != "terms" or "field" not in s:
-                    raise RequestError("json.facet: only terms facets")
-                f = self.fast(s["field"], "json.facet")
-                c = self.index.column(f.name)
-                order = s.get("sort", "count desc")
-                if order not in ("count desc", "index asc"):
-                    raise RequestError(f"json.facet: bad sort {order}")
-                found = facets.terms(hits, c, multi=f.array, limit=s.get("limit", 10), mincount=max(1, s.get("mincount", 1)), sort=order.split()[0]).collect()
-                buckets = []
-                for r in found:  # a bounded list: its limit
-                    bucket = {"val": r["value"], "count": r["count"]}
-                    if s.get("facet"):
-                        walk(hits.where(F.array_contains(c, r["value"]) if f.array else c == r["value"]), s["facet"], bucket)
-                    buckets.append(bucket)
-                into[label] = {"buckets": buckets}
-
-        walk(seen, spec, out)
+        """One job for the counts and maxima of each node of the request, however many buckets it has."""
+
+        def best(label: str, s: str) -> Column:
+            if not (s.startswith("max(") and s.endswith(")")):
+                raise RequestError(f"json.facet: unknown aggregation {s}")
+            name = s[4:-1].strip()
+            if name == "_version_":
+                return F.col("_version_")
+            f = self.fast(name, "json.facet")
+            if f.kind not in ("int", "float") or f.array:
+                raise RequestError(f"json.facet: no maximum of {name}")
+            return self.index.column(f.name)
+
+        def level(depth: int, s: dict) -> tuple:
+            for k in s:
+                if k not in ("type", "field", "limit", "mincount", "sort", "facet"):
+                    raise RequestError(f"json.facet: unknown key {k}")
+            if s.get("type") != "terms" or "field" not in s:
+                raise RequestError("json.facet: only terms facets")
+            f = self.fast(s["field"], "json.facet")
+            order = s.get("sort", "count desc")
+            if order not in ("count desc", "index asc"):
+                raise RequestError(f"json.facet: bad sort {order}")
+            c = self.index.column(f.name)
+            return f"level{depth}", c, s.get("limit", 10), order, max(1, s.get("mincount", 1)), f.array
+
+        def parted(part: dict, depth: int) -> tuple[dict[str, Column], dict[str, tuple]]:
+            maxima = {k: best(k, s) for k, s in part.items() if isinstance(s, str)}
+            return maxima, {k: (s, level(depth, s)) for k, s in part.items() if not isinstance(s, str)}
+
+        def walk(part: dict, path: list[tuple], parents: dict[tuple, dict]) -> None:
+            _, below = parted(part, len(path))
+            for label, (s, own) in below.items():
+                maxima, _ = parted(s.get("facet", {}), len(path) + 1)
+                for bucket in parents.values():
+                    bucket[label] = {"buckets": []}
+                levels = [*path, own]
+                rows = facets.nested(seen, levels, {f"best_{i}": c for i, c in enumerate(maxima.values())}).where(F.col("depth") == len(path)).orderBy("rank").collect()
+                found = {}
+                for r in rows:
+                    values = tuple(r[f"level{i}"] for i in range(len(levels)))
+                    bucket = {"val": values[-1], "count": r["count"]} | {k: r[f"best_{i}"] for i, k in enumerate(maxima) if r[f"best_{i}"] is not None}
+                    parents[values[:-1]][label]["buckets"].append(bucket)
+                    found[values] = bucket
+                if s.get("facet"):
+                    walk(s["facet"], levels, found)
+
+        maxima, _ = parted(spec, 0)
+        row = seen.agg(F.count(F.lit(1)).alias("count"), *[F.max(c).alias(f"best_{i}") for i, c in enumerate(maxima.values())]).first()
+        out = {"count": row["count"]} | {k: row[f"best_{i}"] for i, k in enumerate(maxima) if row[f"best_{i}"] is not None}
+        walk(spec, [], {(): out})
         return out
 
     def stats(self, seen: DataFrame) -> dict:
@@ -348,7 +370,7 @@ class Search:
     def highlight(self, page: DataFrame) -> dict:
         p, key = self.params, self.core.schema.unique_key
         names = (p.get("hl.fl") or self.params.get("df") or self.core.schema.default_field or "").replace(",", " ").split()
-        out: dict = {r[0]: {} for r in page.select(key).collect()}
+        out: dict = {str(r[0]): {} for r in page.select(key).collect()}
         for name in names:
             f = self.core.schema.find(name)
             if f is None or f.kind != "text" or not f.stored:
@@ -359,7 +381,7 @@ class Search:
             text = page.withColumn("_text", F.array_join(F.col(name), "\n") if f.array else F.col(name))
             for r in components.highlight_page(text, key, "_text", f.chain, options).collect():
                 if r["snippets"]:
-                    out[r["key"]][name] = r["snippets"]
+                    out[str(r["key"])][name] = r["snippets"]
         return out
 
 

@@ -5,6 +5,7 @@ Points and spans are derived from keys by arithmetic that both sides spell out.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Callable
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from .functions import numeric
 from .functions.analysis import simple_tokens
 from .operators import components, facets, grouping, ordering, stats
-from .plans import ast
+from .plans import ast, handlers
 from .plans.compile import Index, compile_query, interval_match, payload_score
 from .plans.edismax import edismax, minimum
 from .plans.grammar import parse_query
-from .sources.core import copy_fields, delete_keys, delete_where, last_of_each, overwrite, work_folder
+from .plans.request import select
+from .sources.core import TableCore, copy_fields, delete_keys, delete_where, last_of_each, overwrite, work_folder
 from .sources.schema import Schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -734,3 +736,128 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scored words, a filter, and the ten best documents."""
     return c01f(spark, sf_dir)
 
+
+
+# ---------------------------------------------------------------- whole requests
+
+
+def view(spark: SparkSession, sf_dir: str) -> TableCore:
+    docs = indexed(spark, sf_dir, "documents", "text")
+    return TableCore(_DOCS, docs.withColumn("doc_ord", F.col("doc_id").cast("long")))
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of one answer, which its page and its limits bound."""
+    return spark.createDataFrame(rows, schema)
+
+
+@query("rq_page", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, n_chars, (SELECT count(*) FROM documents WHERE list_contains({_TOK}, 'license') AND lang = 'en') AS found FROM documents WHERE list_contains({_TOK}, 'license') AND lang = 'en' ORDER BY n_chars DESC, documents.doc_id LIMIT 7 OFFSET 3")
+def rq_page(spark, sf_dir):
+    r = select(view(spark, sf_dir), {"q": "license", "fq": "lang:en", "sort": "n_chars desc", "start": 3, "rows": 7, "fl": "doc_id,n_chars"})["response"]
+    return listed(spark, [(str(d["doc_id"]), d["n_chars"], r["numFound"]) for d in r["docs"]], "doc_id string, n_chars long, found long")
+
+
+@query("rq_facet_fields", f"""WITH d AS (SELECT * FROM documents WHERE list_contains({_TOK}, 'the'))
+SELECT 'lang' AS field, lang AS value, count(*) AS count FROM d WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL (SELECT 'source', source, count(*) FROM d WHERE source IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)""")
+def rq_facet_fields(spark, sf_dir):
+    p = {"q": "the", "rows": 0, "facet": "true", "facet.field": ["lang", "source"], "facet.mincount": 1, "f.source.facet.limit": 5, "json.nl": "arrarr"}
+    found = select(view(spark, sf_dir), p)["facet_counts"]["facet_fields"]
+    return listed(spark, [(f, v, n) for f, entries in found.items() for v, n in entries], "field string, value string, count long")
+
+
+@query("rq_multi_select", """SELECT 'all' AS facet, lang AS value, count(*) AS count FROM documents WHERE n_chars >= 500 GROUP BY lang HAVING lang IS NOT NULL
+UNION ALL SELECT 'shown', source, count(*) FROM documents WHERE n_chars >= 500 AND lang = 'en' AND source IS NOT NULL GROUP BY source""")
+def rq_multi_select(spark, sf_dir):
+    p = {"q": "*:*", "fq": ["n_chars:[500 TO *]", "{!tag=l}lang:en"], "rows": 0, "facet": "true", "facet.field": ["{!ex=l key=all}lang", "{!key=shown}source"], "facet.mincount": 1, "facet.limit": -1, "json.nl": "arrarr"}
+    found = select(view(spark, sf_dir), p)["facet_counts"]["facet_fields"]
+    return listed(spark, [(f, v, n) for f, entries in found.items() for v, n in entries], "facet string, value string, count long")
+
+
+@query("rq_facet_query", f"SELECT (SELECT count(*) FROM documents WHERE lang = 'en' AND list_contains({_TOK}, 'license')) AS words, (SELECT count(*) FROM documents WHERE lang = 'en' AND n_chars BETWEEN 100 AND 900) AS sizes")
+def rq_facet_query(spark, sf_dir):
+    p = {"q": "lang:en", "rows": 0, "facet": "true", "facet.query": ["text:license", "n_chars:[100 TO 900]"]}
+    found = select(view(spark, sf_dir), p)["facet_counts"]["facet_queries"]
+    return listed(spark, [(found["text:license"], found["n_chars:[100 TO 900]"])], "words long, sizes long")
+
+
+@query("rq_facet_range", """SELECT CAST(CAST(g.lower AS INTEGER) AS VARCHAR) AS lower, count(d.doc_id) AS count FROM (SELECT unnest(range(0, 10000, 2000)) AS lower) g
+LEFT JOIN documents d ON d.n_chars >= g.lower AND d.n_chars < g.lower + 2000 GROUP BY g.lower""")
+def rq_facet_range(spark, sf_dir):
+    p = {"q": "*:*", "rows": 0, "facet": "true", "facet.range": "n_chars", "facet.range.start": 0, "facet.range.end": 10000, "facet.range.gap": 2000}
+    counts = select(view(spark, sf_dir), p)["facet_counts"]["facet_ranges"]["n_chars"]["counts"]
+    return listed(spark, list(zip(counts[::2], counts[1::2])), "lower string, count long")
+
+
+@query("rq_json_facet", """WITH x AS (SELECT source, count(*) AS n, max(n_chars) AS best FROM documents WHERE source IS NOT NULL GROUP BY source),
+xr AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS rank FROM x),
+y AS (SELECT source, lang, count(*) AS n, max(n_chars) AS best FROM documents WHERE lang IS NOT NULL AND source IN (SELECT source FROM xr WHERE rank <= 4) GROUP BY source, lang),
+yr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS rank FROM y)
+SELECT source, NULL AS lang, n AS count, best FROM xr WHERE rank <= 4 UNION ALL SELECT source, lang, n, best FROM yr WHERE rank <= 2""")
+def rq_json_facet(spark, sf_dir):
+    spec = {"s": {"type": "terms", "field": "source", "limit": 4, "facet": {"best": "max(n_chars)", "l": {"type": "terms", "field": "lang", "limit": 2, "facet": {"best": "max(n_chars)"}}}}}
+    buckets = select(view(spark, sf_dir), {"q": "*:*", "rows": 0, "json.facet": json.dumps(spec)})["facets"]["s"]["buckets"]
+    rows = [(b["val"], None, b["count"], b["best"]) for b in buckets] + [(b["val"], x["val"], x["count"], x["best"]) for b in buckets for x in b["l"]["buckets"]]
+    return listed(spark, rows, "source string, lang string, count long, best long")
+
+
+@query("rq_json_max", "SELECT count(*) AS count, max(n_chars) AS best FROM documents WHERE lang = 'fr'")
+def rq_json_max(spark, sf_dir):
+    found = select(view(spark, sf_dir), {"q": "lang:fr", "rows": 0, "json.facet": '{"best": "max(n_chars)"}'})["facets"]
+    return listed(spark, [(found["count"], found["best"])], "count long, best long")
+
+
+@query("rq_stats", "SELECT CAST(min(n_chars) AS DOUBLE) AS min, CAST(max(n_chars) AS DOUBLE) AS max, count(n_chars) AS count, CAST(sum(n_chars) AS DOUBLE) AS sum FROM documents WHERE lang = 'de'")
+def rq_stats(spark, sf_dir):
+    s = select(view(spark, sf_dir), {"q": "lang:de", "rows": 0, "stats": "true", "stats.field": "n_chars"})["stats"]["stats_fields"]["n_chars"]
+    return listed(spark, [(float(s["min"]), float(s["max"]), s["count"], float(s["sum"]))], "min double, max double, count long, sum double")
+
+
+@query("rq_groups", """WITH r AS (SELECT lang, doc_id, count(*) OVER (PARTITION BY lang) AS size, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents WHERE n_chars >= 200)
+SELECT lang, CAST(doc_id AS VARCHAR) AS doc_id, size, (SELECT count(DISTINCT coalesce(lang, '-')) FROM r) AS ngroups FROM r WHERE place <= 2""")
+def rq_groups(spark, sf_dir):
+    p = {"q": "n_chars:[200 TO *]", "sort": "n_chars desc", "group": "true", "group.field": "lang", "group.limit": 2, "group.ngroups": "true", "rows": 100, "fl": "doc_id"}
+    found = select(view(spark, sf_dir), p)["grouped"]["lang"]
+    return listed(spark, [(g["groupValue"], str(d["doc_id"]), g["doclist"]["numFound"], found["ngroups"]) for g in found["groups"] for d in g["doclist"]["docs"]], "lang string, doc_id string, size long, ngroups long")
+
+
+@query("rq_nested_block", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE list_contains({_TOK}, 'license') AND lang = 'en' ORDER BY n_chars, documents.doc_id LIMIT 20")
+def rq_nested_block(spark, sf_dir):
+    r = select(view(spark, sf_dir), {"q": "+{!edismax qf=text}license +lang:en", "sort": "n_chars asc", "rows": 20, "fl": "doc_id"})["response"]
+    return listed(spark, [(str(d["doc_id"]),) for d in r["docs"]], "doc_id string")
+
+
+@query("rq_fq_frange", "SELECT count(*) AS found FROM documents WHERE n_chars * 2 >= 1000 AND n_chars * 2 < 3000 AND lang IN ('en', 'fr')")
+def rq_fq_frange(spark, sf_dir):
+    r = select(view(spark, sf_dir), {"q": "*:*", "fq": ["{!frange l=1000 u=3000 incu=false}product(n_chars,2)", "lang: IN [en fr]"], "rows": 0})["response"]
+    return listed(spark, [(r["numFound"],)], "found long")
+
+
+@query("rq_published", f"""WITH d AS (SELECT * FROM documents WHERE list_contains({_TOK}, 'license') AND lang = 'en')
+SELECT source AS value, count(*) AS count, (SELECT count(*) FROM d) AS found FROM d WHERE source IS NOT NULL GROUP BY source""")
+def rq_published(spark, sf_dir):
+    """Scored words over a field, a filter, a facet, ten documents and their highlights in one request."""
+    p = {"q": "license", "defType": "edismax", "qf": "text", "fq": "lang:en", "rows": 10, "fl": "doc_id,score", "facet": "true", "facet.field": "source", "facet.mincount": 1, "facet.limit": -1, "json.nl": "arrarr", "hl": "true", "hl.fl": "text"}
+    r = select(view(spark, sf_dir), p)
+    assert len(r["highlighting"]) == len(r["response"]["docs"])
+    return listed(spark, [(v, n, r["response"]["numFound"]) for v, n in r["facet_counts"]["facet_fields"]["source"]], "value string, count long, found long")
+
+
+@query("rq_terms", f"SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK}) AS t FROM documents) WHERE starts_with(t, 'li') GROUP BY t ORDER BY df DESC, t LIMIT 8")
+def rq_terms(spark, sf_dir):
+    found = handlers.terms(view(spark, sf_dir), {"terms.fl": "text", "terms.prefix": "li", "terms.limit": 8, "json.nl": "arrarr"})["terms"]["text"]
+    return listed(spark, [tuple(x) for x in found], "term string, df long")
+
+
+@query("rq_suggest", f"SELECT p_name FROM part WHERE list_contains({_NAME}, 'red') AND len(list_filter({_NAME}, lambda t: starts_with(t, 'wi'))) > 0 ORDER BY p_partkey LIMIT 10")
+def rq_suggest(spark, sf_dir):
+    table = indexed(spark, sf_dir, "part", "p_name", "p_type")
+    core = TableCore(_PARTS, table.withColumn("doc_ord", F.col("p_partkey").cast("long")))
+    found = handlers.suggest(core, {"suggest.q": "red wi", "suggest.field": "p_name", "suggest.dictionary": "en", "suggest.highlight": "false"})["suggest"]["en"]["red wi"]
+    return listed(spark, [(s["term"],) for s in found["suggestions"]], "p_name string")
+
+
+@query("rq_more_like_this")
+def rq_more_like_this(spark, sf_dir):
+    r = handlers.more_like_this(view(spark, sf_dir), {"q": "license", "fq": "lang:en", "mlt.fl": "text", "mlt.mintf": 1, "fl": "doc_id,score", "rows": 10})["response"]
+    return listed(spark, [(str(d["doc_id"]), d["score"], r["numFound"]) for d in (r or {"docs": []})["docs"]], "doc_id string, score double, found long")

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -73,13 +74,17 @@ class Core:
     path: Path
     schema: Schema
     auto_docs: int | None = None
+    auto_ms: int | None = None
+    background: bool = False
     pending: list[tuple[str, object]] = field(default_factory=list)
     waiting: int = 0
     due: float | None = None
+    lock: threading.RLock = field(default_factory=threading.RLock)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, schema: Schema, auto_docs: int | None = None) -> Core:
-        core = cls(spark, Path(path), schema, auto_docs)
+    def open(cls, spark: SparkSession, path: str, schema: Schema, auto_docs: int | None = None, auto_ms: int | None = None, background: bool = False) -> Core:
+        """Commits come after ``auto_docs`` documents or ``auto_ms``; with ``background`` a timer keeps deadlines, else ``tick`` does."""
+        core = cls(spark, Path(path), schema, auto_docs, auto_ms, background)
         core.path.mkdir(parents=True, exist_ok=True)
         if core.manifest() is None:
             core._write(core._empty(), 0)
@@ -142,14 +147,37 @@ class Core:
 
     def add(self, docs: list[dict], overwrite: bool = True) -> None:
         """Documents before one that is refused stay pending."""
-        for doc in docs:
-            row = build(self.schema, doc)
-            if overwrite:
-                self.pending.append(("drop", row[self.schema.unique_key]))
-            self.pending.append(("add", row))
+        with self.lock:
+            for doc in docs:
+                row = build(self.schema, doc)
+                if overwrite:
+                    self.pending.append(("drop", row[self.schema.unique_key]))
+                self.pending.append(("add", row))
+                self.waiting += 1
+        self._added()
+
+    def add_frame(self, df: DataFrame) -> None:
+        """All rows of a frame whose columns are fields, without passing through the driver; of one key any row stays."""
+        key = self.schema.unique_key
+        unknown = [c for c in df.columns if self.schema.find(c) is None]
+        if unknown or key not in df.columns:
+            raise RequestError(f"undefined field {unknown[0]}" if unknown else f"{key} is missing")
+        rows = df.select(*[F.col(f"`{c}`").cast(self.schema.find(c).type).alias(c) for c in df.columns]).dropDuplicates([key])
+        for source, dest in self.schema.copies:
+            if source in rows.columns:
+                value = F.col(f"`{source}`") if dest not in rows.columns else F.coalesce(F.col(f"`{dest}`"), F.col(f"`{source}`"))
+                kind = self.schema.find(dest).type
+                rows = rows.withColumn(dest, value.cast(kind) if kind == rows.schema[source].dataType else F.array(value).cast(kind))
+        with self.lock:
+            self.pending.append(("frame", rows))
             self.waiting += 1
+        self._added()
+
+    def _added(self) -> None:
         if self.auto_docs and self.waiting >= self.auto_docs:
             self.commit()
+        elif self.auto_ms is not None and self.pending:
+            self.commit_within(self.auto_ms)
 
     def delete_ids(self, ids: list[str]) -> None:
         self.pending += [("drop", i) for i in ids]
@@ -161,15 +189,24 @@ class Core:
         """A deadline, which only ever moves forward in time to an earlier one; ``tick`` keeps it."""
         due = time.time() + ms / 1000
         self.due = due if self.due is None else min(self.due, due)
+        if self.background:
+            timer = threading.Timer(max(0.0, self.due - time.time()) + 0.01, self.tick)
+            timer.daemon = True
+            timer.start()
 
     def tick(self) -> bool:
-        if self.due is not None and time.time() >= self.due:
-            self.commit()
-            return True
+        with self.lock:
+            if self.due is not None and time.time() >= self.due:
+                self.commit()
+                return True
         return False
 
     def commit(self) -> None:
         """Apply pending writes in their order, as few table operations as that allows, and publish the result."""
+        with self.lock:
+            self._commit()
+
+    def _commit(self) -> None:
         if not self.pending:
             self.due = None
             return
@@ -197,6 +234,12 @@ class Core:
             elif what == "add":
                 adds.append(value | {"doc_ord": order, "_version_": version})
                 order, version = order + 1, version + 1
+            elif what == "frame":
+                settle()
+                df = delete_keys(df, value.select(key), key)
+                at = F.monotonically_increasing_id()
+                df = df.unionByName(self._analyzed(value.withColumns({"doc_ord": at + order, "_version_": at + version})), allowMissingColumns=True)
+                order, version = order + (value.rdd.getNumPartitions() << 33), version + (value.rdd.getNumPartitions() << 33)
             else:
                 settle()
                 index = Index(df, self.schema, value[1])
@@ -271,9 +314,20 @@ class Core:
         return {"name": self.schema.name, "numDocs": self.docs().count(), "generation": self.manifest()["generation"], "fields": sorted(self.schema.fields)}
 
 
+@dataclass
+class TableCore:
+    """A read-only core over a table that has the fields' columns, their terms (``field__terms``) and doc_ord."""
+
+    schema: Schema
+    table: DataFrame
+
+    def index(self, default: str | None = None) -> Index:
+        return Index(self.table, self.schema, default)
+
+
 def stored(schema: Schema, columns: list[str], wanted: str | None) -> list[Field]:
     """Stored fields that the list of names and patterns asks for, in the schema's order, dynamic ones last."""
     names = [n for n in re.split(r"[,\s]+", wanted) if n and "(" not in n] if wanted else ["*"]
-    known = [f for n, f in schema.fields.items() if n in columns] + sorted((schema.find(c) for c in columns if c not in schema.fields and not c.endswith("__tokens") and c not in ("doc_ord", "_version_")), key=lambda f: f.name)
+    known = [f for n, f in schema.fields.items() if n in columns] + sorted((schema.find(c) for c in columns if c not in schema.fields and not c.endswith(("__tokens", "__terms")) and c not in ("doc_ord", "_version_")), key=lambda f: f.name)
     patterns = [re.compile("".join(".*" if c == "*" else re.escape(c) for c in n)) for n in names]
     return [f for f in known if f.stored and f.kind != "location" and any(p.fullmatch(f.name) for p in patterns)]

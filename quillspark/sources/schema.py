@@ -20,6 +20,10 @@ PAID = T.StructType([T.StructField("term", T.StringType()), T.StructField("paylo
 _TYPES = {"text": T.StringType(), "string": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "date": T.TimestampType(), "location": POINT, "date_range": SPAN, "payload": PAID}
 
 
+#: Changes whenever texts are cut into other terms than before, so that older tables are refused.
+ANALYSIS = 1
+
+
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -121,7 +125,8 @@ class Schema:
     def fingerprint(self) -> str:
         """Changes with anything that makes stored tables unfit."""
         parts = [[f.name, f.kind, f.multi, f.fast, f.stored, f.chain.name if f.chain else None] for f in self.fields.values()]
-        return hashlib.sha256(json.dumps([self.unique_key, sorted(parts), [p for p, _ in self.dynamic]]).encode()).hexdigest()
+        rules = [[p, f.kind, f.multi, f.fast, f.stored, f.chain.name if f.chain else None] for p, f in self.dynamic]
+        return hashlib.sha256(json.dumps([ANALYSIS, self.unique_key, sorted(parts), rules, sorted(self.copies)]).encode()).hexdigest()
 
 
 def coerce(f: Field, value):
