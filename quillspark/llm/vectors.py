@@ -16,6 +16,8 @@ TOP, QUERY_STEP, LEVELS = 20, 20, 64
 #: Rows and queries of one block of the search.
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 LEAST_COSINE, LEADING, JOIN_BLOCK, LEAF = 0.95, 8, 2048, 128
+#: Lengths of vectors, the most frequent ones, whose principal axes are taken; other lengths use their first members.
+FITTED = 16
 
 
 def finite(column: str):
@@ -257,9 +259,12 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
     rows = staged(rows.select("vec_id", F.when(usable, F.col("embedding")).alias("embedding")), "vectors")
     whole = rows.where("embedding is not null")
     classes = staged(whole.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("many")), "vector-classes")
-    widths = [r[0] for r in classes.select(F.size("embedding")).distinct().limit(1000).collect()]
+    widths = [r[0] for r in classes.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(FITTED).collect()]
     reach = float(np.sqrt(2 - 2 * least))
-    axes = {w: leading_axes(classes, w) for w in widths}
+    fitted = {w: leading_axes(classes, w) for w in widths}
+
+    def axes(w: int) -> np.ndarray:
+        return fitted[w] if w in fitted else np.eye(w, min(w, LEADING))
 
     def in_cells(batches):
         for batch in batches:
@@ -268,7 +273,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
             for w in np.unique(width).tolist():
                 at = np.flatnonzero(width == w)
                 x = unit(batch.column(0).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, w))
-                p = np.floor(x @ axes[w] / reach).astype(np.int64)
+                p = np.floor(x @ axes(w) / reach).astype(np.int64)
                 cells[at, : p.shape[1]] = p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(width, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), LEADING).cast(pa.list_(pa.int64()))], ["embedding", "vec_id", "many", "width", "cells"])
 
@@ -281,7 +286,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
         def flush():
             w = held[0][3]
             x = np.array([h[0] for h in held], np.float64)
-            p = unit(x) @ axes[w]
+            p = unit(x) @ axes(w)
             lo, hi = np.zeros(LEADING), np.zeros(LEADING)
             lo[: p.shape[1]], hi[: p.shape[1]] = p.min(0), p.max(0)
             return pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([lo.tolist()]), pa.array([hi.tolist()]), pa.array([np.array([h[1] for h in held], np.int64).tobytes()]), pa.array([np.array([h[2] for h in held], np.int64).tobytes()]), pa.array([x.tobytes()])], ["width", "lo", "hi", "ids", "many", "data"])
@@ -315,7 +320,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
                 ids_a, ids_b, many_a, many_b, x, y = (np.frombuffer(batch.column(3 + k)[i].as_buffer(), t) for k, t in enumerate(("i8", "i8", "i8", "i8", "f8", "f8")))
                 a = unit(x.reshape(-1, w))
                 b = a if same else unit(y.reshape(-1, w))
-                ids, links, near = join_blocks(a, b, ids_a, ids_b, many_a, many_b, axes[w], least, same)
+                ids, links, near = join_blocks(a, b, ids_a, ids_b, many_a, many_b, axes(w), least, same)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array(near, pa.int64())], ["a", "n", "b"])
 
     found = staged(work.transform(through, link, "a long, n long, b long"), "vector-links")
