@@ -78,3 +78,48 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (50, 50), (None, 1), (60, 40), (60, 40)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40, 60: 40}
+
+
+def shuffled(spark, since: int) -> tuple[int, int]:
+    """Bytes that stages from the given number on have written to shuffles, and the number of the next stage."""
+    store, total = spark.sparkContext._jsc.sc().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    while True:
+        try:
+            total += store.lastStageAttempt(since).shuffleWriteBytes()
+        except Exception:
+            return total, since
+        since += 1
+
+
+def test_near_duplicates_move_each_vector_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "JOIN_BLOCK", 16)
+    monkeypatch.setattr(vectors, "LEAF", 8)
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(800, 64)).astype(np.float32)
+    data[400:] = data[:400] + rng.normal(0, 0.01, (400, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>").localCheckpoint()
+    since = shuffled(spark, 0)[1]
+    got = {r.vec_id: tuple(r)[1:] for r in vectors.near_duplicates(df).collect()}
+    assert got == {i: (1, i % 400, i < 400) for i in range(800)}
+    assert shuffled(spark, since)[0] < 4 * data.nbytes
+
+
+def test_near_duplicates_of_copies_and_precisions(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "JOIN_BLOCK", 7)
+    monkeypatch.setattr(vectors, "LEAF", 4)
+    rng = np.random.default_rng(4)
+    base = [[float(x) for x in v] for v in rng.normal(size=(30, 5))] + [[1.5, -2.0, 0.25, 0.0, 1e300], [1.5, -2.0, 0.25, -0.0, 4.0]]
+    rows = [(k * 100 + i, v) for i, v in enumerate(base) for k in range(1 + i % 4)] + [(None, base[0]), (9001, [1.0, None, 1.0, 1.0, 1.0]), (9002, [-0.0] * 5)]
+    got = {r.vec_id: tuple(r)[1:] for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows if i is not None and i < 9000}
+    unit = {i: v / np.sqrt(v @ v) for i, v in unit.items()}
+    near = {i: {j for j in unit if j != i and unit[i] @ unit[j] >= 0.95} for i in unit}
+    assert {i: got[i][0] for i in unit} == {i: len(near[i]) for i in unit}
+    for i in unit:
+        reached, more = {i}, {i}
+        while more:
+            more = set().union(*(near[j] for j in more)) - reached
+            reached |= more
+        assert got[i][1:] == (min(reached), min(reached) == i)
+    assert got[9001] == (0, 9001, True) and got[9002] == (0, 9002, True) and got[None] == (0, None, True)
