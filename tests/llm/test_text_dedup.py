@@ -56,6 +56,19 @@ def test_no_lines(spark):
     assert [r.text for r in line_dedup.dedup(frame(spark, [(1, None)])).collect()] == [None]
 
 
+def test_order_of_tokens_by_a_sample(spark):
+    texts = [f"common words of all lines\nonly {i} here" for i in range(640)] + ["\n", "\n\n", "", "x\n", None]
+    docs = frame(spark, list(enumerate(texts)))
+    bare = docs.selectExpr("doc_id as doc", "xxhash64(text) as hash", "text").where("text is not null")
+    top = max(spark.range(1).select(line_dedup.rarity(bare)).first()[0]) >> 24
+    assert 0 < top < 30  # 37 if all 640 were counted
+    sets = bare.selectExpr("doc as id", "1 as n", "array(1) as prefix", "0L as sketch", "0L as sketch2")
+    plan = line_dedup.candidates(sets, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 2
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(docs).collect()}
+    assert got == {i: (None, 0, 0) if t is None else (t if i == 0 or i >= 640 else t.split("\n")[1], t.count("\n") + 1, int(0 < i < 640)) for i, t in enumerate(texts)}
+
+
 def words_of(text):
     return [w for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", (text or "").lower()) if w]
 
