@@ -69,6 +69,31 @@ def test_order_of_tokens_by_a_sample(spark):
     assert got == {i: (None, 0, 0) if t is None else (t if i == 0 or i >= 640 else t.split("\n")[1], t.count("\n") + 1, int(0 < i < 640)) for i, t in enumerate(texts)}
 
 
+def test_copies_and_parts_of_the_join(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in range(1, 60)]
+    near = [[w for w in b if rng.random() > 0.08] + ["x"] * rng.randrange(2) for b in base for _ in range(3)]
+    texts = [" ".join(b) for b in base + near if b]
+    rows = [*enumerate(texts), (900, "\n".join(texts)), (7, "again\n" + texts[7]), (7, texts[7]), (901, "  \na  b\nb a ")]
+    docs = frame(spark, rows).selectExpr("cast(doc_id as long) as doc", "xxhash64(text) as hash", "text")
+    lines = line_dedup.line_sets(docs).withColumn("id", line_dedup.F.monotonically_increasing_id())
+    lines = line_dedup.staged(lines, "test-lines")
+    found = lines.join(docs.distinct(), ["doc", "hash"]).selectExpr("*", "split(text, '\n')[line] as words").collect()
+    assert all((r.nth == 1) == (r.prefix is not None) for r in found)  # no token of a copy is looked at
+    sets = {r.id: set(r.words.split(" ")) - {""} for r in found if r.nth == 1}
+    assert {r.id: len(sets[r.id]) for r in found if r.nth == 1} == {r.id: r.n for r in found if r.nth == 1}
+    assert len(sets) == len({x for _, t in rows for x in t.split("\n") if x.strip()})
+    parts = [{tuple(sorted((r.a, r.b))) for r in line_dedup.candidates(lines.where("nth = 1"), part).collect()} for part in range(line_dedup.ROUNDS)]
+    assert not parts[0] & parts[1]  # each pair is met in one part
+    like = {(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.8}
+    assert like <= parts[0] | parts[1] and len(like) > 50
+    got = line_dedup.dedup(frame(spark, rows)).collect()
+    want = brute_lines(rows)
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((d, want[d, t]) for d, t in rows)
+
+
 def words_of(text):
     return [w for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", (text or "").lower()) if w]
 
