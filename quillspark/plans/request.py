@@ -223,7 +223,8 @@ class Search:
             some = seen
             for alias, d in computed.items():
                 some = some.withColumn(alias, d)
-            found = grouping.grouped(some, c, main, within, limit=p.number("group.limit", 1), offset=p.number("group.offset", 0), rows=rows, start=start).orderBy("group_rank", "place").collect()
+            found = grouping.grouped(some, c, main, within, limit=p.number("group.limit", 1), offset=p.number("group.offset", 0), rows=rows, start=start)
+            found = found.select(*[F.col(f"`{f.name}`") for f in fields], *computed, "_score", "_group", "group_rank", "group_size", "place").orderBy("group_rank", "place").collect()
             blocks: dict = {}
             for r in found:
                 blocks.setdefault(r["group_rank"], []).append(r)
