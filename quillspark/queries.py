@@ -66,27 +66,36 @@ _PARTS = Schema.from_dict({
 })
 
 
-_INDEXES: dict[tuple[str, str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
+#: Tables of up to so many bytes are spread over all cores before terms are cut; larger ones have enough parts of their own.
+SMALL = 64 << 20
 
 
-def indexed(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def size_of(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def indexed(spark: SparkSession, sf_dir: str, name: str, *columns: str, texts: bool = False) -> DataFrame:
     """The table with the term arrays that the compiler reads, as an index has them: written once in a session, then read.
 
-    Terms are cut inside the JVM, over all cores even where the table is one small file.
+    Terms are cut inside the JVM, over all cores even where the table is one small file; a large table is not shuffled.
+    The texts themselves are in it only if ``texts`` says so: matching and scores read the terms alone.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, columns, texts)
     if key not in _INDEXES:
         df, wide = read(spark, sf_dir, name), 2 * spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < wide:
+        if size_of(spark, f"{sf_dir}/{name}.parquet") <= SMALL and df.rdd.getNumPartitions() < wide:
             df = df.repartition(wide)
+        df = df.withColumns({f"{c}__terms": simple_tokens(F.col(c)) for c in columns})
         path = f"{work_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
-        df.withColumns({f"{c}__terms": simple_tokens(F.col(c)) for c in columns}).write.parquet(path)
+        (df if texts else df.drop(*columns)).write.option("compression", "zstd").parquet(path)
         _INDEXES[key] = path
     return spark.read.parquet(_INDEXES[key])
 
 
-def documents(spark: SparkSession, sf_dir: str) -> Index:
-    return Index(indexed(spark, sf_dir, "documents", "text"), _DOCS)
+def documents(spark: SparkSession, sf_dir: str, texts: bool = False) -> Index:
+    return Index(indexed(spark, sf_dir, "documents", "text", texts=texts), _DOCS)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> Index:
@@ -646,7 +655,7 @@ def m08(spark, sf_dir):
 def h01(spark, sf_dir):
     from .functions.analysis import CHAINS
 
-    index = documents(spark, sf_dir)
+    index = documents(spark, sf_dir, texts=True)
     page = ordering.page(found(index, "license", "doc_id", "text"), [], F.asc("doc_id"))
     return components.highlight_page(page, "doc_id", "text", CHAINS["text_general"], components.Highlight(frozenset(["license"])))
 
@@ -741,8 +750,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- whole requests
 
 
-def view(spark: SparkSession, sf_dir: str) -> TableCore:
-    docs = indexed(spark, sf_dir, "documents", "text")
+def view(spark: SparkSession, sf_dir: str, texts: bool = False) -> TableCore:
+    docs = documents(spark, sf_dir, texts).docs
     return TableCore(_DOCS, docs.withColumn("doc_ord", F.col("doc_id").cast("long")))
 
 
@@ -838,7 +847,7 @@ SELECT source AS value, count(*) AS count, (SELECT count(*) FROM d) AS found FRO
 def rq_published(spark, sf_dir):
     """Scored words over a field, a filter, a facet, ten documents and their highlights in one request."""
     p = {"q": "license", "defType": "edismax", "qf": "text", "fq": "lang:en", "rows": 10, "fl": "doc_id,score", "facet": "true", "facet.field": "source", "facet.mincount": 1, "facet.limit": -1, "json.nl": "arrarr", "hl": "true", "hl.fl": "text"}
-    r = select(view(spark, sf_dir), p)
+    r = select(view(spark, sf_dir, texts=True), p)
     assert len(r["highlighting"]) == len(r["response"]["docs"])
     return listed(spark, [(v, n, r["response"]["numFound"]) for v, n in r["facet_counts"]["facet_fields"]["source"]], "value string, count long, found long")
 
@@ -851,7 +860,7 @@ def rq_terms(spark, sf_dir):
 
 @query("rq_suggest", f"SELECT p_name FROM part WHERE list_contains({_NAME}, 'red') AND len(list_filter({_NAME}, lambda t: starts_with(t, 'wi'))) > 0 ORDER BY p_partkey LIMIT 10")
 def rq_suggest(spark, sf_dir):
-    table = indexed(spark, sf_dir, "part", "p_name", "p_type")
+    table = indexed(spark, sf_dir, "part", "p_name", "p_type", texts=True)
     core = TableCore(_PARTS, table.withColumn("doc_ord", F.col("p_partkey").cast("long")))
     found = handlers.suggest(core, {"suggest.q": "red wi", "suggest.field": "p_name", "suggest.dictionary": "en", "suggest.highlight": "false"})["suggest"]["en"]["red wi"]
     return listed(spark, [(s["term"],) for s in found["suggestions"]], "p_name string")
