@@ -21,7 +21,7 @@ def test_a_large_table_is_indexed_without_a_shuffle(spark, monkeypatch, texts):
     assert sorted(found.select(want.columns).collect()) == sorted(want.collect())
 
 
-@pytest.mark.parametrize("name", ["p14_filters"])
+@pytest.mark.parametrize("name", ["p14_filters", "rq_facet_fields"])
 def test_queries_of_words_write_terms_alone(spark, duck, monkeypatch, name):  # noqa: F811
     monkeypatch.setattr(own, "_INDEXES", {})
     monkeypatch.setattr(own, "SMALL", 0)
