@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from dataclasses import replace
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,6 +67,12 @@ _PARTS = Schema.from_dict({
 })
 
 
+def wordless(schema: Schema) -> Schema:
+    """The schema without its text fields, for queries that look at no words: a word asked of it is an error."""
+    return replace(schema, default_field=None, fields={n: f for n, f in schema.fields.items() if f.kind != "text"})
+
+
+_DOCS_PLAIN, _PARTS_PLAIN = wordless(_DOCS), wordless(_PARTS)
 _INDEXES: dict[tuple, str] = {}
 #: Tables of up to so many bytes are spread over all cores before terms are cut; larger ones have enough parts of their own.
 SMALL = 64 << 20
@@ -98,10 +105,19 @@ def documents(spark: SparkSession, sf_dir: str, texts: bool = False) -> Index:
     return Index(indexed(spark, sf_dir, "documents", "text", texts=texts), _DOCS)
 
 
+def plain_documents(spark: SparkSession, sf_dir: str) -> Index:
+    """For queries that look at no words: nothing is written, and the scan leaves the texts out."""
+    return Index(read(spark, sf_dir, "documents").drop("text"), _DOCS_PLAIN)
+
+
 def parts(spark: SparkSession, sf_dir: str) -> Index:
     return Index(indexed(spark, sf_dir, "part", "p_name", "p_type"), _PARTS)
 
 
+def plain_parts(spark: SparkSession, sf_dir: str) -> Index:
+    return Index(read(spark, sf_dir, "part").drop("p_name", "p_type"), _PARTS_PLAIN)
+
+
 def found(index: Index, text: str | ast.Node, *columns: str) -> DataFrame:
     tree = parse_query(text) if isinstance(text, str) else text
     return index.docs.where(compile_query(index, tree).match).select(*columns)
@@ -133,13 +149,13 @@ def _bm25_sql(table: str, key: str, tokens: str, terms: list[str], where: str =
 
 @query("p01_match_all", "SELECT count(*) AS n FROM documents")
 def p01(spark, sf_dir):
-    index = documents(spark, sf_dir)
+    index = plain_documents(spark, sf_dir)
     return found(index, "*:*", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p02_no_query", "SELECT doc_id FROM documents WHERE false")
 def p02(spark, sf_dir):
-    return found(documents(spark, sf_dir), ast.MatchNone(), "doc_id")
+    return found(plain_documents(spark, sf_dir), ast.MatchNone(), "doc_id")
 
 
 @query("p03_term", f"SELECT doc_id FROM documents WHERE list_contains({_TOK}, 'license')")
@@ -149,7 +165,7 @@ def p03(spark, sf_dir):
 
 @query("p03_term_string", "SELECT doc_id FROM documents WHERE lang = 'fr'")
 def p03s(spark, sf_dir):
-    return found(documents(spark, sf_dir), "lang:fr", "doc_id")
+    return found(plain_documents(spark, sf_dir), "lang:fr", "doc_id")
 
 
 _PAIRS = f"(SELECT doc_id, list_zip({_TOK}, {_TOK}[2:]) AS pairs, {_TOK} AS tok FROM documents)"
@@ -215,17 +231,17 @@ def p10(spark, sf_dir):
 
 @query("p11_range_int", "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size < 20")
 def p11(spark, sf_dir):
-    return found(parts(spark, sf_dir), "p_size:[10 TO 20}", "p_partkey")
+    return found(plain_parts(spark, sf_dir), "p_size:[10 TO 20}", "p_partkey")
 
 
 @query("p11_range_float", "SELECT p_partkey FROM part WHERE p_retailprice > 950.5")
 def p11f(spark, sf_dir):
-    return found(parts(spark, sf_dir), "p_retailprice:{950.5 TO *]", "p_partkey")
+    return found(plain_parts(spark, sf_dir), "p_retailprice:{950.5 TO *]", "p_partkey")
 
 
 @query("p11_range_string", "SELECT doc_id FROM documents WHERE source >= 'src1' AND source < 'src2'")
 def p11s(spark, sf_dir):
-    return found(documents(spark, sf_dir), "source:[src1 TO src2}", "doc_id")
+    return found(plain_documents(spark, sf_dir), "source:[src1 TO src2}", "doc_id")
 
 
 @query("p11_range_date", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1995-03-31 12:00:00'")
@@ -239,12 +255,12 @@ def p11d(spark, sf_dir):
 
 @query("p12_exists", "SELECT p_partkey FROM part WHERE p_size IS NOT NULL")
 def p12(spark, sf_dir):
-    return found(parts(spark, sf_dir), "p_size:*", "p_partkey")
+    return found(plain_parts(spark, sf_dir), "p_size:*", "p_partkey")
 
 
 @query("p13_set", "SELECT doc_id FROM documents WHERE lang IN ('de', 'es')")
 def p13(spark, sf_dir):
-    return found(documents(spark, sf_dir), "lang: IN [de es]", "doc_id")
+    return found(plain_documents(spark, sf_dir), "lang: IN [de es]", "doc_id")
 
 
 @query("p14_filters", f"SELECT doc_id FROM documents WHERE list_contains({_TOK}, 'license') AND lang = 'en' AND n_chars >= 1000")
@@ -256,12 +272,12 @@ def p14(spark, sf_dir):
 
 @query("p15_frange", "SELECT p_partkey FROM part WHERE p_size IS NOT NULL AND p_size * 2.0 + 1 >= 21 AND p_size * 2.0 + 1 < 41")
 def p15(spark, sf_dir):
-    return found(parts(spark, sf_dir), ast.FuncRange("sum(product(p_size,2),1)", 21, 41, True, False), "p_partkey")
+    return found(plain_parts(spark, sf_dir), ast.FuncRange("sum(product(p_size,2),1)", 21, 41, True, False), "p_partkey")
 
 
 @query("p15_frange_missing", "SELECT p_partkey FROM (SELECT p_partkey, nullif(p_size, 7) AS p_size FROM part) WHERE p_size IS NOT NULL AND p_size <= 9")
 def p15m(spark, sf_dir):
-    index = parts(spark, sf_dir)
+    index = plain_parts(spark, sf_dir)
     index.docs = index.docs.withColumn("p_size", F.nullif("p_size", F.lit(7)))
     return found(index, ast.FuncRange("p_size", None, 9), "p_partkey")
 
@@ -409,7 +425,7 @@ def c08(spark, sf_dir):
 
 @query("c09_func_score", "SELECT p_partkey, round(CAST(CAST(p_size * 3 + 1 AS FLOAT) AS DOUBLE), 6) AS score FROM part ORDER BY score DESC, p_partkey LIMIT 10")
 def c09(spark, sf_dir):
-    return scored(parts(spark, sf_dir), ast.FuncScore("sum(product(p_size,3),1)"), "p_partkey")
+    return scored(plain_parts(spark, sf_dir), ast.FuncScore("sum(product(p_size,3),1)"), "p_partkey")
 
 
 @query("c10_boosted", f"WITH {_field_sql('y', _NAME, 'bolt')} SELECT p_partkey, round(y.s * p_size, 6) AS score FROM y JOIN part USING (p_partkey) WHERE y.s > 0 ORDER BY score DESC, p_partkey LIMIT 10")

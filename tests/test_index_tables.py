@@ -4,10 +4,29 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import queries as own
+from quillspark.errors import RequestError
 
 from .test_grouping import ready, shuffled
 from .test_queries import SF, duck, pytestmark, rows  # noqa: F401
 
+WORDLESS = "p01_match_all p02_no_query p03_term_string p11_range_int p11_range_float p11_range_string p12_exists p13_set p15_frange p15_frange_missing c09_func_score".split()
+
+
+@pytest.mark.parametrize("name", WORDLESS)
+def test_queries_without_words_write_no_index(spark, duck, monkeypatch, name):  # noqa: F811
+    monkeypatch.setattr(own, "_INDEXES", {})
+    df, want = own.QUERIES[name](spark, SF), duck.sql(own.ORACLES[name])
+    assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), list(want.columns))
+    assert own._INDEXES == {}
+
+
+def test_a_word_asked_of_a_plain_table_is_an_error(spark):
+    with pytest.raises(RequestError):
+        own.found(own.plain_documents(spark, SF), "text:license", "doc_id")
+    with pytest.raises(RequestError):
+        own.found(own.plain_documents(spark, SF), "license", "doc_id")
+
+
 @pytest.mark.parametrize("texts", [False, True])
 def test_a_large_table_is_indexed_without_a_shuffle(spark, monkeypatch, texts):
     monkeypatch.setattr(own, "_INDEXES", {})
