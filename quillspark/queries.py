@@ -771,6 +771,12 @@ def view(spark: SparkSession, sf_dir: str, texts: bool = False) -> TableCore:
     return TableCore(_DOCS, docs.withColumn("doc_ord", F.col("doc_id").cast("long")))
 
 
+def plain_view(spark: SparkSession, sf_dir: str) -> TableCore:
+    """For requests that look at no words."""
+    docs = plain_documents(spark, sf_dir).docs
+    return TableCore(_DOCS_PLAIN, docs.withColumn("doc_ord", F.col("doc_id").cast("long")))
+
+
 def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rows of one answer, which its page and its limits bound."""
     return spark.createDataFrame(rows, schema)
@@ -795,7 +801,7 @@ def rq_facet_fields(spark, sf_dir):
 UNION ALL SELECT 'shown', source, count(*) FROM documents WHERE n_chars >= 500 AND lang = 'en' AND source IS NOT NULL GROUP BY source""")
 def rq_multi_select(spark, sf_dir):
     p = {"q": "*:*", "fq": ["n_chars:[500 TO *]", "{!tag=l}lang:en"], "rows": 0, "facet": "true", "facet.field": ["{!ex=l key=all}lang", "{!key=shown}source"], "facet.mincount": 1, "facet.limit": -1, "json.nl": "arrarr"}
-    found = select(view(spark, sf_dir), p)["facet_counts"]["facet_fields"]
+    found = select(plain_view(spark, sf_dir), p)["facet_counts"]["facet_fields"]
     return listed(spark, [(f, v, n) for f, entries in found.items() for v, n in entries], "facet string, value string, count long")
 
 
@@ -810,7 +816,7 @@ def rq_facet_query(spark, sf_dir):
 LEFT JOIN documents d ON d.n_chars >= g.lower AND d.n_chars < g.lower + 2000 GROUP BY g.lower""")
 def rq_facet_range(spark, sf_dir):
     p = {"q": "*:*", "rows": 0, "facet": "true", "facet.range": "n_chars", "facet.range.start": 0, "facet.range.end": 10000, "facet.range.gap": 2000}
-    counts = select(view(spark, sf_dir), p)["facet_counts"]["facet_ranges"]["n_chars"]["counts"]
+    counts = select(plain_view(spark, sf_dir), p)["facet_counts"]["facet_ranges"]["n_chars"]["counts"]
     return listed(spark, list(zip(counts[::2], counts[1::2])), "lower string, count long")
 
 
@@ -821,20 +827,20 @@ yr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) A
 SELECT source, NULL AS lang, n AS count, best FROM xr WHERE rank <= 4 UNION ALL SELECT source, lang, n, best FROM yr WHERE rank <= 2""")
 def rq_json_facet(spark, sf_dir):
     spec = {"s": {"type": "terms", "field": "source", "limit": 4, "facet": {"best": "max(n_chars)", "l": {"type": "terms", "field": "lang", "limit": 2, "facet": {"best": "max(n_chars)"}}}}}
-    buckets = select(view(spark, sf_dir), {"q": "*:*", "rows": 0, "json.facet": json.dumps(spec)})["facets"]["s"]["buckets"]
+    buckets = select(plain_view(spark, sf_dir), {"q": "*:*", "rows": 0, "json.facet": json.dumps(spec)})["facets"]["s"]["buckets"]
     rows = [(b["val"], None, b["count"], b["best"]) for b in buckets] + [(b["val"], x["val"], x["count"], x["best"]) for b in buckets for x in b["l"]["buckets"]]
     return listed(spark, rows, "source string, lang string, count long, best long")
 
 
 @query("rq_json_max", "SELECT count(*) AS count, max(n_chars) AS best FROM documents WHERE lang = 'fr'")
 def rq_json_max(spark, sf_dir):
-    found = select(view(spark, sf_dir), {"q": "lang:fr", "rows": 0, "json.facet": '{"best": "max(n_chars)"}'})["facets"]
+    found = select(plain_view(spark, sf_dir), {"q": "lang:fr", "rows": 0, "json.facet": '{"best": "max(n_chars)"}'})["facets"]
     return listed(spark, [(found["count"], found["best"])], "count long, best long")
 
 
 @query("rq_stats", "SELECT CAST(min(n_chars) AS DOUBLE) AS min, CAST(max(n_chars) AS DOUBLE) AS max, count(n_chars) AS count, CAST(sum(n_chars) AS DOUBLE) AS sum FROM documents WHERE lang = 'de'")
 def rq_stats(spark, sf_dir):
-    s = select(view(spark, sf_dir), {"q": "lang:de", "rows": 0, "stats": "true", "stats.field": "n_chars"})["stats"]["stats_fields"]["n_chars"]
+    s = select(plain_view(spark, sf_dir), {"q": "lang:de", "rows": 0, "stats": "true", "stats.field": "n_chars"})["stats"]["stats_fields"]["n_chars"]
     return listed(spark, [(float(s["min"]), float(s["max"]), s["count"], float(s["sum"]))], "min double, max double, count long, sum double")
 
 
@@ -842,7 +848,7 @@ def rq_stats(spark, sf_dir):
 SELECT lang, CAST(doc_id AS VARCHAR) AS doc_id, size, (SELECT count(DISTINCT coalesce(lang, '-')) FROM r) AS ngroups FROM r WHERE place <= 2""")
 def rq_groups(spark, sf_dir):
     p = {"q": "n_chars:[200 TO *]", "sort": "n_chars desc", "group": "true", "group.field": "lang", "group.limit": 2, "group.ngroups": "true", "rows": 100, "fl": "doc_id"}
-    found = select(view(spark, sf_dir), p)["grouped"]["lang"]
+    found = select(plain_view(spark, sf_dir), p)["grouped"]["lang"]
     return listed(spark, [(g["groupValue"], str(d["doc_id"]), g["doclist"]["numFound"], found["ngroups"]) for g in found["groups"] for d in g["doclist"]["docs"]], "lang string, doc_id string, size long, ngroups long")
 
 
@@ -854,7 +860,7 @@ def rq_nested_block(spark, sf_dir):
 
 @query("rq_fq_frange", "SELECT count(*) AS found FROM documents WHERE n_chars * 2 >= 1000 AND n_chars * 2 < 3000 AND lang IN ('en', 'fr')")
 def rq_fq_frange(spark, sf_dir):
-    r = select(view(spark, sf_dir), {"q": "*:*", "fq": ["{!frange l=1000 u=3000 incu=false}product(n_chars,2)", "lang: IN [en fr]"], "rows": 0})["response"]
+    r = select(plain_view(spark, sf_dir), {"q": "*:*", "fq": ["{!frange l=1000 u=3000 incu=false}product(n_chars,2)", "lang: IN [en fr]"], "rows": 0})["response"]
     return listed(spark, [(r["numFound"],)], "found long")
 
 

@@ -9,7 +9,7 @@ from quillspark.errors import RequestError
 from .test_grouping import ready, shuffled
 from .test_queries import SF, duck, pytestmark, rows  # noqa: F401
 
-WORDLESS = "p01_match_all p02_no_query p03_term_string p11_range_int p11_range_float p11_range_string p12_exists p13_set p15_frange p15_frange_missing c09_func_score".split()
+WORDLESS = "p01_match_all p02_no_query p03_term_string p11_range_int p11_range_float p11_range_string p12_exists p13_set p15_frange p15_frange_missing c09_func_score rq_multi_select rq_facet_range rq_json_facet rq_json_max rq_stats rq_groups rq_fq_frange".split()
 
 
 @pytest.mark.parametrize("name", WORDLESS)
